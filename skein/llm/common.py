@@ -32,11 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder and reading it again."""
+def written(df: DataFrame) -> str:
+    """Write ``df`` to a fresh shared folder and tell its path."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing ``df`` to the shared folder and reading it again."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
 def forget(df: DataFrame | None) -> None:
