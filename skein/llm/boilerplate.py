@@ -66,11 +66,11 @@ def drop_boilerplate(
 
 def html_lines(html: Column) -> Column:
     """The text lines of a web page: scripts, styles and comments out, block tags break lines."""
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|h[1-6]|title|table|tr|td|th|body|head|html|main|aside|blockquote|pre)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    out = F.regexp_replace(out, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit("\n "))
+    out = F.regexp_replace(html, r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)", " ")
+    out = F.regexp_replace(out, r"(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|h[1-6]|title|table|tr|td|th|body|head|html|main|aside|blockquote|pre)\b[^>]*+>", "\n")
+    out = F.regexp_replace(out, r"<[^>]*+>", "")
+    out = F.regexp_replace(F.translate(out, "\t\r", "  "), r"  ++", " ")
+    return F.trim(F.regexp_replace(out, r" ?\n[ \n]++| \n", "\n"), F.lit("\n "))
 
 
 def host_of(url: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import boilerplate, chat, decontaminate, pieces, pii, quality, secrets, shingles, tokencount, vectors
-from skein.llm.common import sha256_hex, table
+from skein.llm.common import materialise, sha256_hex, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,7 +72,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", boilerplate.host_of(F.col("url")).alias("host"), boilerplate.html_lines(F.col("html")).alias("text"))
+    pages = materialise(table(spark, sf_dir, "pages").select("page_id", boilerplate.host_of(F.col("url")).alias("host"), boilerplate.html_lines(F.col("html")).alias("text")))
     done = boilerplate.drop_boilerplate(pages, F.col("host"), ratio=0.05, min_pages=3, counts=("n_lines", "n_dropped"))
     text = F.coalesce(F.col("text"), F.lit(""))
     return done.select("page_id", "host", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), sha256_hex(text).alias("kept_sha256"))
