@@ -42,10 +42,11 @@ def boilerplate_lines(pages: DataFrame, site: Column, text: Column, ratio: float
 
 
 def drop_boilerplate(
-    pages: DataFrame, site: Column, text_col: str = "text", ratio: float = 0.2, min_pages: int = 5, out_text: str | None = None, counts: tuple[str, str] | None = None
+    pages: DataFrame, site: Column, text_col: str = "text", ratio: float = 0.2, min_pages: int = 5, keep_whole: bool = False, counts: tuple[str, str] | None = None
 ) -> DataFrame:
     """``pages`` with the boilerplate lines taken out of ``text_col``.
 
+    With ``keep_whole``, a page of which nothing but blank lines would stay is left as it is.
     ``counts`` names two further columns: lines of the page, and lines dropped.
     """
     text = F.col(text_col)
@@ -55,8 +56,9 @@ def drop_boilerplate(
     met = salted.join(common, (F.col("__s") == F.col("__site")) & (F.col("__n") == F.col("__none")) & (F.col("__r") == F.col("__salt")), "left")
     drop = F.coalesce(F.col("__drop"), F.array().cast("array<bigint>"))
     kept = F.filter(lines_of(text), lambda x: (F.trim(x) == "") | ~F.array_contains(drop, _key(x)))
-    new = F.when(F.size(drop) == 0, text).otherwise(F.array_join(kept, "\n"))
-    columns = {out_text or text_col: new}
+    if keep_whole:
+        kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(lines_of(text))
+    columns = {text_col: F.when(F.size(drop) == 0, text).otherwise(F.array_join(kept, "\n"))}
     if counts:
         n = F.coalesce(F.size(lines_of(text)), F.lit(0)).cast("long")
         columns |= {counts[0]: n, counts[1]: F.when(F.size(drop) == 0, F.lit(0)).otherwise(F.coalesce(n - F.size(kept), F.lit(0))).cast("long")}

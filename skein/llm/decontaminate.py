@@ -23,6 +23,7 @@ from itertools import batched
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,3 +168,42 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         run, f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
     )
     return found.withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no window hits."""
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(b) for b in blocks_of(items, item_col, item_text_col)]
+
+    def judge(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard([t or "" for batch in held for t in batch.column(text_col).to_pylist()])
+        for block in shared:
+            shard.search(block.value)
+        total = np.concatenate([[0], np.cumsum(shard.hit)])
+        clean = total[shard.starts[1:]] == total[shard.starts[:-1]]
+        at = 0
+        for batch in held:
+            yield batch.filter(pa.array(clean[at : at + len(batch)]))
+            at += len(batch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                held.append(whole.slice(at, 500))
+                if sum(b.column(text_col).nbytes for b in held) >= SHARD_BYTES:
+                    yield from judge(held)
+                    held = []
+        if held:
+            yield from judge(held)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the merged spans, each of which leaves a line break."""
+    out, at = [], 0
+    for start, end in spans:
+        out += [text[at:start], "\n"]
+        at = end
+    return "".join([*out, text[at:]])
