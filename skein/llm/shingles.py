@@ -41,13 +41,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import forget, materialise, written
+from skein.llm.common import materialise, written
 from skein.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 #: The frequency table has 2 ** TABLE_BITS bytes; tasks report shingles that they see this often.
-TABLE_BITS, LOCAL_LEAST = 20, 3
+TABLE_BITS, LOCAL_LEAST = 21, 2
 #: Largest set that subsets may be enumerated for.
 MAX_BOUND = 16
 #: Bits of the filter that tells which classes have candidates.
@@ -114,7 +114,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key.append(class_key(shingles))
             seen.append(shingles)
             held += len(shingles)
-            if held > 6_000_000:
+            if held > 3_000_000:
                 yield frequent()
                 seen, held = [], 0
         none = pa.nulls(len(n))
@@ -166,9 +166,10 @@ def _light_keys(shingles: np.ndarray, bound: int) -> list[tuple[int, int]]:
 
 
 def _entries(shared, bound: int, parts: int):
-    """A mapper from texts to inverted-list entries, packed by part, and light subset keys.
+    """A mapper from texts to inverted-list entries and light subsets, packed by part.
 
-    A row is (part, tokens, owners, places, keys, sizes); part -1 holds subset keys instead.
+    A row is (part, light, tokens, owners, places, keys, sizes).  Light rows hold subset keys as
+    tokens and the sides of their sets as places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +184,10 @@ def _entries(shared, bound: int, parts: int):
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
             key_of, size_of = np.array(keys, np.int64), np.array(sizes, np.int32)
-            if tokens:
-                t, o, p = np.concatenate(tokens), np.concatenate(owners), np.concatenate(places)
+            for kind, t, o, p in ((False, tokens, owners, places), (True, [np.array(light, _U)], [np.array(light_owner, np.int32)], [np.array(light_side, np.int32)])):
+                if not sum(map(len, t)):
+                    continue
+                t, o, p = np.concatenate(t), np.concatenate(o), np.concatenate(p)
                 part = (t % _U(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 t, o, p, part = t[order], o[order], p[order], part[order]
@@ -193,11 +196,10 @@ def _entries(shared, bound: int, parts: int):
                     a, b = edges[k], edges[k + 1]
                     if b > a:
                         own, index = np.unique(o[a:b], return_inverse=True)
-                        rows.append((k, t[a:b].tobytes(), index.astype(np.int32).tobytes(), p[a:b].tobytes(), key_of[own].tobytes(), size_of[own].tobytes()))
-            if light:
-                rows.append((-1, np.array(light, np.int64).tobytes(), np.array(light_owner, np.int32).tobytes(), b"", key_of.tobytes(), np.array(light_side, np.int8).tobytes()))
+                        rows.append((k, kind, t[a:b].tobytes(), index.astype(np.int32).tobytes(), p[a:b].tobytes(), key_of[own].tobytes(), size_of[own].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["part", "tokens", "owners", "places", "keys", "sizes"])
+                types = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "light", "tokens", "owners", "places", "keys", "sizes"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -231,9 +233,9 @@ def _entries(shared, bound: int, parts: int):
     return run
 
 
-def _scan(part: pd.DataFrame) -> pd.DataFrame:
-    """The inverted lists of one part that more than one class is in, as rows."""
-    t, key, size, place = [], [], [], []
+def _unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, keys, sizes and places of one part's rows, sorted by token and key, copies from different tasks once."""
+    t, key, size, place = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for row in part.itertuples():
         o = np.frombuffer(row.owners, np.int32)
         t.append(np.frombuffer(row.tokens, _U))
@@ -243,23 +245,33 @@ def _scan(part: pd.DataFrame) -> pd.DataFrame:
     t, key, size, place = map(np.concatenate, (t, key, size, place))
     order = np.lexsort((key, t))
     t, key = t[order], key[order]
-    fresh = np.ones(len(t), bool)  # copies from different tasks
+    fresh = np.ones(len(t), bool)
     fresh[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-    t, key, order = t[fresh], key[fresh], order[fresh]
+    order = order[fresh]
+    return t[fresh], key[fresh], size[order], place[order]
+
+
+def _scan(part: pd.DataFrame) -> pd.DataFrame:
+    """Rows of the lists of one part that more than one class is in, and links of its light pairs.
+
+    A link is a row without a place: the classes ``key`` and ``token``.
+    """
+    t, key, size, place = _unpack(part[~part["light"]])
     shared = np.zeros(len(t), bool)
     shared[1:] = t[1:] == t[:-1]
     shared[:-1] |= shared[1:]
-    order = order[shared]
-    return pd.DataFrame({"token": t[shared].view(np.int64), "key": key[shared], "n": size[order], "place": place[order]})
-
-
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            o = np.frombuffer(row["owners"], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(row["tokens"], np.int64)), pa.array(np.frombuffer(row["keys"], np.int64)[o]), pa.array(np.frombuffer(row["sizes"], np.int8).astype(np.int32))], ["subset", "key", "side"]
-            )
+    lists = pd.DataFrame({"token": t[shared].view(np.int64), "key": key[shared], "n": size[shared], "place": place[shared]})
+    t, key, size, side = _unpack(part[part["light"]])
+    if not len(t):
+        return lists
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    count = np.diff(np.append(starts, len(t)))
+    low, high = np.minimum.reduceat(side, starts), np.maximum.reduceat(side, starts)
+    # Sets of equal sizes link with each other; else smaller ones with larger ones.
+    met = np.repeat((low == 2) | (low < high), count)
+    least = np.repeat(np.minimum.reduceat(key, starts), count)
+    met &= key != least
+    return pd.concat([lists, pd.DataFrame({"token": least[met], "key": key[met], "n": size[met], "place": np.int32(-1)})])
 
 
 def _may_link(m: Column, n: Column, pm: Column, pn: Column, bound: int, percent: int = PERCENT) -> Column:
@@ -283,12 +295,13 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
     n_pairs = read().count()
     if not n_pairs:
         return read()
+    parts = max(16, n_pairs // PAIRS_PER_PART + 1)
+
     ends = read().select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(1 << FILTER_BITS)).alias("p"))
     words = ends.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bits.view(_U))
-    parts = max(16, n_pairs // PAIRS_PER_PART + 1)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, sent = shared.value, set()
@@ -310,7 +323,7 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
             if len(sent) > 500_000:
                 sent.clear()
 
-    part_of = lambda: F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part")
+    part_of = lambda: F.pmod("b", F.lit(parts)).cast("int").alias("part")
     wanted = read().select(F.explode(F.array("a", "b")).alias("key"), part_of()).distinct()
     sent = docs.select("text").mapInArrow(sets, "key long, blob binary").join(wanted, "key").select("part", "key", "blob")
 
@@ -346,18 +359,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound = choose_bound(small)
     parts = max(16, total // SHINGLES_PER_PART + 1)
 
-    entry_type = "part int, tokens binary, owners binary, places binary, keys binary, sizes binary"
+    entry_type = "part int, light boolean, tokens binary, owners binary, places binary, keys binary, sizes binary"
     shared = spark.sparkContext.broadcast(table)
-    entries = written(texts.select("text").mapInArrow(_entries(shared, bound, parts), entry_type).repartition(parts, "part"))
-    read_entries = lambda: spark.read.schema(entry_type).parquet(entries)
     row_type = "token long, key long, n int, place int"
-    lists_path = written(read_entries().where("part >= 0").groupBy("part").applyInPandas(_scan, row_type))
-    lists = lambda: spark.read.schema(row_type).parquet(lists_path)
-
-    # Light pairs need no verification: both sides of a subset in one group link.
-    subsets = lambda: read_entries().where("part < 0").mapInArrow(_light, "subset long, key long, side int")
-    met = subsets().groupBy("subset").agg(F.min("key").alias("b"), F.min("side").alias("low"), F.max("side").alias("high")).where("low = 2 OR low < high")
-    links = written(subsets().join(met, "subset").select(F.col("key").alias("a"), "b").where("a <> b").distinct())
+    scanned = written(texts.select("text").mapInArrow(_entries(shared, bound, parts), entry_type).groupBy("part").applyInPandas(_scan, row_type))
+    rows = lambda: spark.read.schema(row_type).parquet(scanned)
+    lists = lambda: rows().where("place >= 0")
+    links = written(rows().where("place < 0").select(F.col("key").alias("a"), F.col("token").alias("b")).distinct())  # light pairs need no verification
     edges = lambda *paths: spark.read.schema("a long, b long").parquet(*paths)
 
     # Each list's leader is the class with the fewest rarer shingles.
