@@ -298,9 +298,9 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
     parts = max(16, n_pairs // PAIRS_PER_PART + 1)
 
     ends = read().select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(1 << FILTER_BITS)).alias("p"))
-    words = ends.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
+    words = ends.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bits[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(bits.view(_U))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,9 +350,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     read = lambda: spark.read.schema(profile_type).parquet(path)
     meta = read().where("n IS NOT NULL").select("id", "n", "key")
 
-    often = read().where("buckets IS NOT NULL").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n")).toPandas()  # at most 2 ** TABLE_BITS rows
+    counted = read().where("buckets IS NOT NULL").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
+    often = counted.select("bucket", F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 3) + 1).cast("tinyint").alias("rank")).toArrow()  # at most 2 ** TABLE_BITS rows of five bytes
     table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[often["bucket"].to_numpy(np.int64)] = np.minimum(255, 8 * np.log2(often["n"].to_numpy(np.float64)) + 1).astype(np.uint8)
+    table[often["bucket"].to_numpy()] = often["rank"].to_numpy()
+    del often
 
     total = meta.agg(F.sum("n")).first()[0] or 0
     small = {r["n"]: r["c"] for r in meta.where(F.col("n").between(1, MAX_BOUND)).groupBy("n").agg(F.countDistinct("key").alias("c")).collect()}  # at most MAX_BOUND rows
