@@ -172,7 +172,7 @@ def merge(c, state, clause: A.Merge):
                 raise SemanticError("MergeReadOwnWrites", f"{k} is null")
             if not state.df.where(v.col.isNull()).isEmpty():
                 raise SemanticError("MergeReadOwnWrites", f"{k} is null")
-    used = [v for v in state.scope if v in {n.var for n in (*p.nodes, *p.rels)} | {y.name for y in A.walk([x.props for x in (*p.nodes, *p.rels)]) if isinstance(y, A.Var)}]
+    used = [v for v in state.scope if v in {x.var for x in (*p.nodes, *p.rels)}]
     keys, inner = c.matched(state, [p], None)
     new = {v: x for v, x in inner.scope.items() if v not in state.scope}
     found = materialise(inner.df.select(*keys.values(), *(x.col for x in new.values())))
@@ -189,7 +189,7 @@ def merge(c, state, clause: A.Merge):
     parts = {c.fresh("m"): x for x in [*(state.scope[v] for v in used), *(exprs(v) for y in (*p.nodes, *p.rels) for v in y.props.values())]}
     parts = {k: Typed(x.col["id"], LONG) if is_entity(x.type) else x for k, x in parts.items() if not is_null(x.type)}
     tagged = missing.withColumns({k: x.col for k, x in parts.items()}) if parts else missing
-    unique = tagged.dropDuplicates(list(parts)) if parts else tagged.limit(1)
+    unique = materialise(tagged.dropDuplicates(list(parts)) if parts else tagged.limit(1))
     pattern = A.Pattern(p.nodes, [A.RelPat(r.var, r.types, r.props, "out" if r.direction == "both" else r.direction) for r in p.rels], p.path)
     made = create_merge(c, State(unique, dict(state.scope)), pattern)
     made_new = {v: x for v, x in made.scope.items() if v not in state.scope}
