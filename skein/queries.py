@@ -224,3 +224,43 @@ def api_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return sample_graph(spark, sf_dir)
+
+
+# --- views
+@custom("view_full", "SELECT n_name AS n, count(c_custkey) + CASE WHEN n_nationkey = 1 THEN 1 ELSE 0 END AS c FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
+def view_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.streaming.views import Views
+
+    g = sample_graph(spark, sf_dir)
+    views = Views(g)
+    views.create("per_nation", "MATCH (c)-[:IN_NATION]->(n:Nation) WHERE c:Customer OR c:Guest RETURN n.name AS n, count(c) AS c")
+    g.query("MATCH (n:Nation {nationkey: 1}) CREATE (:Guest {name: 'g'})-[:IN_NATION]->(n)")
+    views.refresh()
+    return _tidy(views.read("per_nation"))
+
+
+@custom("view_delta", "SELECT r_name AS n, CASE WHEN r_regionkey = 2 THEN 20 ELSE r_regionkey END::BIGINT AS k FROM region WHERE r_regionkey BETWEEN 1 AND 3 UNION ALL SELECT 'new', 9")
+def view_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.streaming.views import Views
+
+    g = sample_graph(spark, sf_dir)
+    views = Views(g)
+    views.create("regions", "MATCH (r:Region) WHERE r.regionkey >= 1 RETURN r.name AS n, r.regionkey AS k")
+    g.query("MATCH (r:Region {regionkey: 2}) SET r.regionkey = 20")
+    views.refresh()
+    g.query("MATCH (r:Region {regionkey: 4}) DETACH DELETE r")
+    g.query("CREATE (:Region {name: 'new', regionkey: 9})")
+    views.refresh()
+    return _tidy(views.read("regions"))
+
+
+@custom("change_feed", "SELECT * FROM (VALUES ('NodeUpdate', 2::BIGINT), ('NodeInsert', 1::BIGINT), ('EdgeInsert', 1::BIGINT), ('Begin', 2::BIGINT), ('Commit', 2::BIGINT)) AS v(op, c)")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.sources.storage import shared_dir
+    from skein.streaming.changes import ChangeFeed
+
+    g = sample_graph(spark, sf_dir)
+    feed = ChangeFeed(g, shared_dir(spark))
+    g.query("MATCH (r:Region) WHERE r.regionkey < 2 SET r.seen = true")
+    g.query("MATCH (r:Region {regionkey: 3}) CREATE (r)-[:NEAR]->(:Place {v: 1})")
+    return feed.read().groupBy("op").agg(F.count(F.lit(1)).alias("c"))
