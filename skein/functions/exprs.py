@@ -292,7 +292,7 @@ class Exprs:
         self._elements(x)
         n = F.size(x.col)
         bound = lambda b, default: default if b is None else self(b).col
-        clamp = lambda v: F.least(n, F.greatest(F.lit(0), F.when(v < 0, v + n).otherwise(v))).cast("int")
+        clamp = lambda v: F.when(v.isNotNull(), F.least(n, F.greatest(F.lit(0), F.when(v < 0, v + n).otherwise(v)))).cast("int")
         low, high = clamp(bound(e.low, F.lit(0))), clamp(bound(e.high, n))
         return Typed(F.coalesce(F.when(low.isNotNull() & high.isNotNull(), F.slice(x.col, low + 1, F.greatest(F.lit(0), high - low))), F.when(x.col.isNull(), F.array().cast(x.type))), x.type)
 

@@ -248,7 +248,7 @@ def from_map(kind: str, m: Typed) -> Typed:
         return Typed(F.timestamp_micros(micros).cast(LOCAL), LOCAL)
     if zone is not None:
         named = F.to_utc_timestamp(F.timestamp_micros(micros), zone.col)
-        return Typed(F.when(zone.col.rlike(r"^[+-Z]"), F.timestamp_micros(micros - offset * 10**6)).otherwise(named), INSTANT)
+        return Typed(F.when(zone.col.rlike(r"^(?:[+-]|Z$)"), F.timestamp_micros(micros - offset * 10**6)).otherwise(named), INSTANT)
     return Typed(F.timestamp_micros(micros), INSTANT)
 
 

@@ -216,7 +216,7 @@ def equal(a: Typed, b: Typed) -> Column:
         return F.lit(None).cast("boolean")
     if is_num(a.type) and is_num(b.type):
         x, y, floating = promote(a, b)
-        return F.when(F.isnan(x) | F.isnan(y), F.lit(False) & x.isNotNull() & y.isNotNull()).otherwise(x == y) if floating else x == y
+        return (x == y) & ~F.isnan(x) if floating else x == y  # a conjunction, so that x = y still reaches the scan
     if is_entity(a.type) and family(a.type) == family(b.type):
         return a.col["id"] == b.col["id"]
     if is_list(a.type) and is_list(b.type):
@@ -247,7 +247,7 @@ def less(a: Typed, b: Typed, or_equal: bool) -> Column:
     if is_num(a.type) and is_num(b.type):
         x, y, floating = promote(a, b)
         out = x <= y if or_equal else x < y
-        return F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(out) if floating else out
+        return out & ~F.isnan(y) if floating else out  # NaN sorts last, so only the larger side needs a look
     if is_list(a.type) and is_list(b.type) and is_num(a.type.elementType) and is_num(b.type.elementType):
         x, y = a.col.cast("array<double>"), b.col.cast("array<double>")
         return x <= y if or_equal else x < y

@@ -516,7 +516,13 @@ class Compiler:
         seen.append((r, tables))
         state = State(df, state.scope | ({rel.var: r} if rel.var else {}))
         state, far = self.arrive_at(state, to, F.col(cur), path)
-        return state, near, (r, self.bind(df, ns) if path else None), far
+        inner = None
+        if path:  # the nodes behind the pattern's left one, as it is written
+            inner = self.bind(df, ns)
+            if backwards:
+                behind = F.concat(F.slice(inner.col, F.lit(2), F.greatest(F.lit(0), F.size(inner.col) - 1)), F.array(fit(near, node_type)))
+                inner = Typed(F.when(F.size(inner.col) == 0, inner.col).otherwise(behind), inner.type)
+        return state, near, (r, inner), far
 
     def arrive_at(self, state: State, to: A.NodePat, at: Column, path: bool) -> tuple[State, Typed]:
         """Bind the node a path ends at."""
@@ -834,7 +840,8 @@ def aggregate_column(c: A.Call, args: list[Typed], e: Exprs) -> tuple[Column, T.
         f = F.min if name == "min" else F.max
         return f(x.col), x.type
     if is_null(x.type):
-        return (F.coalesce(F.sum(F.lit(None).cast("long")), F.lit(0).cast("long")), LONG) if name == "sum" else (F.max(F.lit(None).cast("double")), DOUBLE)
+        none = F.max(F.lit(None).cast("double"))
+        return (F.coalesce(F.max(F.lit(None).cast("long")), F.lit(0).cast("long")), LONG) if name == "sum" else (F.coalesce(none, F.lit(0.0)) if name.startswith("stdev") else none, DOUBLE)
     if not is_num(x.type):
         raise QueryTypeError("InvalidArgumentType", f"{name}() of a {family(x.type)}")
     col = x.col.cast("double") if is_float(x.type) else x.col
