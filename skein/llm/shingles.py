@@ -17,8 +17,8 @@ threshold.  The join is size-aware:
   only if the shared shingle can be the first one that it shares, which bounds what may differ.
 
 The boundary between light and heavy is the size at which enumerating subsets costs more than
-scanning lists.  Candidate pairs are verified on the full sets, recomputed from the texts of the
-documents that need it.
+scanning lists.  Candidate pairs that small sketches of their sets do not rule out are verified on the full
+sets, recomputed from the texts of the documents that need it.
 
 A class is named by 64 bits of its set's digest together with its size, shingles by 64-bit
 hashes.
@@ -91,9 +91,28 @@ def class_key(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles)) >> 1 if len(shingles) else -1
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Counts of a set's shingles by their upper bits, about two to a byte.
+
+    The sum of the smaller counts of two sets bounds their overlap from above.  Without a bound
+    (a count beyond a byte) the sketch is empty.
+    """
+    bits = min(16, max(5, int(len(shingles)).bit_length() - 1))
+    counts = np.bincount((shingles >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else b""
+
+
+def overlap_bound(x: bytes, y: bytes) -> int | None:
+    if not x or not y:
+        return None
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(k, -1).sum(axis=1), b.reshape(k, -1).sum(axis=1)).sum())
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, key) of every document, and rows (bucket, count) of locally frequent shingles."""
-    names = ["id", "n", "key", "buckets", "counts"]
+    """(id, n, key, sketch) of every document, and rows (bucket, count) of locally frequent shingles."""
+    names = ["id", "n", "key", "sketch", "buckets", "counts"]
     seen, held = [], 0
 
     def frequent() -> pa.RecordBatch:
@@ -103,22 +122,23 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = np.zeros(len(buckets), np.int64)
         np.maximum.at(most, where, counts[often])
         return pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([buckets], pa.list_(pa.int32())), pa.array([most], pa.list_(pa.int64()))], names
+            [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([buckets], pa.list_(pa.int32())), pa.array([most], pa.list_(pa.int64()))], names
         )
 
     for batch in batches:
-        n, key = [], []
+        n, key, sketches = [], [], []
         for text in batch.column("text").to_pylist():
             shingles = shingle_set(text)
             n.append(len(shingles))
             key.append(class_key(shingles))
+            sketches.append(sketch(shingles))
             seen.append(shingles)
             held += len(shingles)
             if held > 3_000_000:
                 yield frequent()
                 seen, held = [], 0
         none = pa.nulls(len(n))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), none.cast(pa.list_(pa.int32())), none.cast(pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketches, pa.binary()), none.cast(pa.list_(pa.int32())), none.cast(pa.list_(pa.int64()))], names)
     if seen:
         yield frequent()
 
@@ -283,6 +303,26 @@ def _may_link(m: Column, n: Column, pm: Column, pn: Column, bound: int, percent:
     return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (F.greatest(m, n) > bound) & (m - pm >= least) & (n - pn >= least)
 
 
+def hopeful(sketches, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sketches do not rule a link out; no linked pair is lost.
+
+    ``sketches`` gives rows (key, n, sketch), equal for equal keys.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    asked = materialise(sketches().join(ends, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")), strict=True):
+                bound = overlap_bound(x, y)
+                keep.append(bound is None or bound >= need(m, n, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: asked.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes that really link, by the full sets of both.
 
@@ -345,10 +385,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("prefixes and subsets are laid out for one threshold")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile_type = "id long, n long, key long, buckets array<int>, counts array<long>"
+    profile_type = "id long, n long, key long, sketch binary, buckets array<int>, counts array<long>"
     path = written(texts.mapInArrow(_profile, profile_type))
     read = lambda: spark.read.schema(profile_type).parquet(path)
     meta = read().where("n IS NOT NULL").select("id", "n", "key")
+    sketches = lambda: read().where("n > 0").select("key", "n", "sketch")
 
     counted = read().where("buckets IS NOT NULL").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
     often = counted.select("bucket", F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 3) + 1).cast("tinyint").alias("rank")).toArrow()  # at most 2 ** TABLE_BITS rows of five bytes
@@ -374,7 +415,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lead = lists().groupBy("token").agg(F.min(F.struct("place", "key", "n")).alias("l"))
     led = lists().join(lead, "token").where((F.col("key") != F.col("l.key")) & _may_link(F.col("n"), F.col("l.n"), F.col("place"), F.col("l.place"), bound))
     tried = written(led.select(F.col("l.key").alias("a"), F.col("key").alias("b")).distinct())
-    first = written(verify(texts, edges(tried)))
+    first = written(verify(texts, hopeful(sketches, edges(tried))))
 
     # Then all pairs of a list that are still apart.
     roots = materialise(components(edges(links, first)))
@@ -388,7 +429,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fits = _may_link(F.col("l_n"), F.col("r_n"), F.col("l_place"), F.col("r_place"), bound)
     crossed = left.join(right, "token").where((F.col("l_label") < F.col("r_label")) & fits).select(F.least("l_key", "r_key").alias("a"), F.greatest("l_key", "r_key").alias("b")).distinct()
     known = edges(tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(verify(texts, crossed.join(known, ["a", "b"], "left_anti")))
+    second = written(verify(texts, hopeful(sketches, edges(written(crossed.join(known, ["a", "b"], "left_anti"))))))
 
     final = components(edges(links, first, second))
     # A class is named by its smallest document; so is a component.

@@ -306,6 +306,17 @@ def test_light_and_heavy_give_the_same(spark, monkeypatch, bound):
     assert rows == plain_components({i: word_shingles(t) for i, t in enumerate(texts)})
 
 
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(8)
+    for m, n in ((1, 1), (40, 60), (700, 600), (5000, 3000)):
+        x, y = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2)) for k in (m, n))
+        y = np.unique(np.concatenate([x[: m // 2], y]))
+        both = len(np.intersect1d(x, y))
+        bound = shingles.overlap_bound(shingles.sketch(x), shingles.sketch(y))
+        assert both <= bound <= min(len(x), len(y))
+    assert shingles.overlap_bound(shingles.sketch(np.arange(300, dtype=np.uint64)), b"x" * 32) is None
+
+
 def test_sizes():
     for m in range(1, 60):
         for n in shingles.partner_sizes(m):
