@@ -98,4 +98,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z to a-z only, whatever else a text holds.
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ESCAPED = "{}"
+for _c in ("\\", *chat.CONTROL):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{'\\' * 2 if _c == '\\' else _c[0] + '\\' + _c[1:]}')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOW.format('text'))} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_LOW.format('text'))} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i : i + 9], ' ')) END) AS x FROM b),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN win ON win.n = dw.n AND array_to_string(w[i : i + dw.n - 1], ' ') = x),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, r, '{HOSTILE_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+e AS (SELECT *, length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len(chat.ROLE + chat.BODY + chat.END)} AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(n)::BIGINT AS formatted_chars, 0::BIGINT AS attachment_tokens FROM e GROUP BY conv_id""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format('text')}, '[^ \\t-\\r]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) USING (doc_id)""",
+    "op9_line_dedup": r"""
+WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+regexp_replace(html, '(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|h[1-6]|title|table|tr|td|th|body|head|html|main|aside|blockquote|pre)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM h),
+x AS (SELECT page_id, host, trim(regexp_replace(regexp_replace(translate(t, chr(9) || chr(13), '  '), '  +', ' ', 'g'), ' ?\n[ \n]+| \n', chr(10), 'g'), chr(10) || ' ') AS t FROM b),
+l AS (SELECT page_id, host, string_split(t, chr(10)) AS ls FROM x),
+pages_of AS (SELECT host, count(*) AS pages FROM l GROUP BY 1),
+seen AS (SELECT host, line, count(DISTINCT page_id) AS n FROM (SELECT page_id, host, unnest(ls) AS line FROM l) WHERE trim(line) <> '' GROUP BY 1, 2),
+bad AS (SELECT host, list(line) AS gone FROM seen JOIN pages_of USING (host) WHERE n >= 3 AND n > 0.05 * pages GROUP BY 1),
+k AS (SELECT page_id, host, ls, list_filter(ls, lambda z: NOT list_contains(coalesce(gone, []), z)) AS kept FROM l LEFT JOIN bad USING (host))
+SELECT page_id, host, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dropped, length(array_to_string(kept, chr(10)))::BIGINT AS kept_chars, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k""",
+}
