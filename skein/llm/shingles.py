@@ -306,10 +306,8 @@ def _may_link(m: Column, n: Column, pm: Column, pn: Column, bound: int, percent:
 def hopeful(sketches, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sketches do not rule a link out; no linked pair is lost.
 
-    ``sketches`` gives rows (key, n, sketch), equal for equal keys.
+    ``sketches`` gives one row (key, n, sketch) per class.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    asked = materialise(sketches().join(ends, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +317,7 @@ def hopeful(sketches, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 keep.append(bound is None or bound >= need(m, n, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: asked.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    side = lambda c: sketches().select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
 
@@ -389,7 +387,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     path = written(texts.mapInArrow(_profile, profile_type))
     read = lambda: spark.read.schema(profile_type).parquet(path)
     meta = read().where("n IS NOT NULL").select("id", "n", "key")
-    sketches = lambda: read().where("n > 0").select("key", "n", "sketch")
+    sketched = written(read().where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]))
+    sketches = lambda: spark.read.schema("key long, n long, sketch binary").parquet(sketched)
 
     counted = read().where("buckets IS NOT NULL").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
     often = counted.select("bucket", F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 3) + 1).cast("tinyint").alias("rank")).toArrow()  # at most 2 ** TABLE_BITS rows of five bytes
