@@ -63,7 +63,7 @@ def drop_boilerplate(
         n = F.coalesce(F.size(lines_of(text)), F.lit(0)).cast("long")
         columns |= {counts[0]: n, counts[1]: F.when(F.size(drop) == 0, F.lit(0)).otherwise(F.coalesce(n - F.size(kept), F.lit(0))).cast("long")}
     order = [c for c in pages.columns if c not in columns]
-    return met.select(*(F.col(c) for c in order), *(v.alias(k) for k, v in columns.items())).select(*pages.columns, *(c for c in columns if c not in pages.columns))
+    return met.select(*(F.col(f"`{c}`") for c in order), *(v.alias(k) for k, v in columns.items())).select(*(F.col(f"`{c}`") for c in (*pages.columns, *(c for c in columns if c not in pages.columns))))
 
 
 def html_lines(html: Column) -> Column:

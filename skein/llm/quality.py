@@ -159,8 +159,8 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"id": batch["id"], "score": model.score(x)})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"id {id_type}, score double")
-    return found.withColumnRenamed("id", id_col)
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id string, score double")
+    return found.select(F.col("id").cast(id_type).alias(id_col), "score")
 
 
 def filter_quality(docs: DataFrame, model: Trees, least: float, text_col: str = "text") -> DataFrame:

@@ -194,9 +194,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: the id, counts by kind, a digest of the base spans, all spans."""
     id_type = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
-        _scan, f"id {id_type}, {counts}, base_sha256 string, spans string"
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
+        _scan, f"id string, {counts}, base_sha256 string, spans string"
     )
     first = [f"n_{k}" for k in BASE_KINDS]
     rest = [f"n_{k}" for k in KINDS if k not in BASE_KINDS]
-    return found.select(F.col("id").alias(id_col), *first, "base_sha256", "spans", *rest)
+    return found.select(F.col("id").cast(id_type).alias(id_col), *first, "base_sha256", "spans", *rest)

@@ -11,7 +11,7 @@ bounded sample of rows.  Every vector is stored in its nearest cell and asks its
 nearest cells.  A cell is cut into blocks, and tasks hold a block of each side, so no task grows
 with a cell.  Identical vectors are stored once with their multiplicity.
 
-Defined results: a null label, or a vector that is null, empty, zero or holds a null or
+Defined results: a null id or label, or a vector that is null, empty, zero or holds a null or
 non-finite component, links with nothing; vectors of different lengths link with nothing;
 vectors with equal components are copies and link with each other; repeated rows of one id are
 vectors of their own that share the id's row in the result per row.
@@ -94,7 +94,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = F.coalesce(
-        F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
+        F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
     good = raw.where(usable).withColumn("width", F.size("v"))
     # One row for all copies of a vector (-0.0 and 0.0 are equal); n of them link with each other.
@@ -110,7 +110,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     joined = rows.join(told, ["label", "width", "v"], "left")
     return joined.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
-        (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
+        F.coalesce("component_id", "id").eqNullSafe(F.col("id")).alias("kept"),
     )
 
 
