@@ -44,6 +44,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
+def map_batches(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow`` onto the same columns, whatever their names are (dots included)."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete the files behind a result of :func:`materialise`."""
     if df is None:

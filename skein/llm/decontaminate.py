@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import map_batches
 from skein.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -174,9 +175,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """The rows of ``docs``, with all their columns, that no window hits."""
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(b) for b in blocks_of(items, item_col, item_text_col)]
+    place = docs.columns.index(text_col)
 
     def judge(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard([t or "" for batch in held for t in batch.column(text_col).to_pylist()])
+        shard = Shard([t or "" for batch in held for t in batch.column(place).to_pylist()])
         for block in shared:
             shard.search(block.value)
         total = np.concatenate([[0], np.cumsum(shard.hit)])
@@ -191,13 +193,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         for whole in batches:
             for at in range(0, len(whole), 500):
                 held.append(whole.slice(at, 500))
-                if sum(b.column(text_col).nbytes for b in held) >= SHARD_BYTES:
+                if sum(b.column(place).nbytes for b in held) >= SHARD_BYTES:
                     yield from judge(held)
                     held = []
         if held:
             yield from judge(held)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

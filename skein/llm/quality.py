@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import map_batches
+
 MAX_LABELLED = 20_000
 
 FEATURES = (
@@ -167,9 +169,11 @@ def filter_quality(docs: DataFrame, model: Trees, least: float, text_col: str =
     """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
     import pyarrow as pa
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(text_col).to_pylist()]).reshape(len(batch), len(FEATURES))
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(len(batch), len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)
