@@ -66,6 +66,29 @@ def drop_boilerplate(
     return met.select(*(F.col(f"`{c}`") for c in order), *(v.alias(k) for k, v in columns.items())).select(*(F.col(f"`{c}`") for c in (*pages.columns, *(c for c in columns if c not in pages.columns))))
 
 
+def drop_passages(docs: DataFrame, min_docs: int, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with long lines that documents of any site share kept in one document only.
+
+    A passage is a line of at least ``min_words`` words; on ``min_docs`` documents or more it
+    stays in the one with the smallest id.  Documents of which nothing but blank lines is left
+    go.  Rows that share an id are one document; rows without an id are left as they are.
+    """
+    text = F.col(text_col)
+    long = lambda x: F.size(F.split(F.trim(x), r"\s+")) >= min_words
+    keys = F.array_distinct(F.transform(F.filter(lines_of(text), long), _key))
+    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.explode(keys).alias("__key")).distinct()
+    shared = held.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first")).where(F.col("n") >= min_docs)
+    # A hot passage is spread over many tasks, as a hot site is.
+    shared = shared.select(F.col("__key").alias("__shared"), "__first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salted = held.withColumn("__r", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(shared, (F.col("__key") == F.col("__shared")) & (F.col("__r") == F.col("__salt"))).where("__id <> __first")
+    gone = gone.groupBy("__id").agg(F.collect_set("__key").alias("__gone"))
+    kept = F.filter(lines_of(text), lambda x: ~(long(x) & F.array_contains("__gone", _key(x))))
+    met = docs.join(gone, F.col(id_col) == F.col("__id"), "left").where(F.col("__gone").isNull() | F.exists(kept, lambda x: F.trim(x) != ""))
+    done = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(text_col)
+    return met.select(*(done if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
 def html_lines(html: Column) -> Column:
     """The text lines of a web page: scripts, styles and comments out, block tags break lines."""
     out = F.regexp_replace(html, r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)", " ")
