@@ -1,12 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Byte-pair merges are taken from an agenda in order of their scores.  A candidate that comes up
-is skipped when a keyed hash of the seed, a variant, both pieces and their place falls below
-the dropout rate, so a seed gives varied but repeatable segmentations.  With rate 0 the result
-is the library's own.  Characters that are no piece fall back to bytes.
+Byte-pair merges are taken from an agenda in order of their scores.  Each candidate that comes
+up is dropped with the dropout rate, by a keyed hash of the seed, the document's key and the
+place in the document, so a seed gives varied but repeatable segmentations.  With rate 0 the
+result is the library's own.  Characters that are no piece fall back to bytes.
 
 Pieces hold the space mark only in front, so a text falls apart into chunks - marks and what
-follows them - that are segmented one by one, and repeated chunks once per variant.
+follows them - that are segmented one by one.  Which candidates of a chunk are dropped is drawn
+anew for every occurrence; only what follows from a chunk and its drops is kept and reused.
 
 A space mark that stands in the text itself is written as bytes and comes back as itself, so
 decoding is lossless (the library would turn it into a space).
@@ -20,10 +21,11 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import batched, chain
+from itertools import batched, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Segmentations of one chunk under one seed; a document takes the one that its key chooses.
-VARIANTS = 4
-CACHE_CHUNKS = 400_000
+#: Segmentations that are kept from one batch of texts to the next.
+CACHE_STATES = 400_000
 #: Chunks up to the last of these many characters are segmented in lockstep, and kept.
 WIDTHS = (8, 12, 16, 24, 48)
 BATCH_CHARS = 1_500_000
@@ -44,6 +45,9 @@ _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 _M64 = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
+#: Steps of an agenda for which one draw says whether all pass; further ones take further draws.
+RUN = 512
 
 
 def _mixed(x: int) -> int:
@@ -79,7 +83,15 @@ class Codec:
         self.value = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.pieces[i].replace(MARK, " ").encode() for i in plain}
         self.mark_bytes = [self.byte[b] for b in MARK.encode()]
         self.limit, self.seed = int(dropout * 2**64), _mixed(seed & _M64)
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS if self.limit else 1)]
+        # passes[k]: below it, a draw of 64 bits lets the first k steps pass.
+        passes = [1 << 64]
+        while len(passes) <= RUN:
+            passes.append(passes[-1] * ((1 << 64) - self.limit) >> 64)
+        self.passes = np.array([min(x, _M64) for x in passes], np.uint64)
+        self.falling = [-x for x in passes]
+        # A state is a chunk with its drops; kept are its pieces, its number of steps, and by the next drop the state that follows.
+        self.known: list[dict[str, list[int]]] = [{}]
+        self._forget()
         # Merges as arrays: sorted keys of (left, right), the merged piece and its rank by score.
         pairs = [(self.ids[p[:k]] * size + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         pairs.sort()
@@ -97,11 +109,17 @@ class Codec:
                 at = (at + 1) % (1 << bits)
             self.slots[at], self.merged[at] = key, i
 
-    def _skip(self, variant: int, at: int, left: int, right: int) -> bool:
-        return _mixed((self.seed + (left << 40) + (right << 16) + (at << 4) + variant) & _M64) < self.limit
-
-    def _merge_all(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and piece of each pair's merge; a rank beyond all others where there is none or it is skipped."""
+    def _forget(self) -> None:
+        self.known[0].clear()
+        self.roots: dict[str, int] = {}
+        self.after: dict[int, int] = {}
+        self.state_chunk: list[str] = []
+        self.state_drops: list[tuple[int, ...]] = []
+        self.state_ids: list[list[int]] = []
+        self.state_steps: list[int] = []
+
+    def _merge_all(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair's merge; a rank beyond all others where there is none."""
         key = left.astype(np.int64) * self.size + right
         key[(left >= self.size) | (right >= self.size) | (left < 0) | (right < 0)] = -2
         slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -113,24 +131,26 @@ class Codec:
             open_ = open_[(found[open_] != key[open_]) & (found[open_] >= 0)]
         piece = self.merged[slot]
         good = found == key
-        if self.limit:
-            u = np.uint64
-            mixed = _mixed_all(u(self.seed) + (left.astype(u) << u(40)) + (right.astype(u) << u(16)) + (at.astype(u) << u(4)) + u(variant))
-            good &= mixed >= u(self.limit)
         return np.where(good, self.rank[piece], _NONE).astype(np.int32), piece
 
-    def _lockstep(self, chunks: tuple[str, ...], variant: int, width: int) -> list[list[int]]:
-        """Segment many chunks of at most ``width`` characters."""
+    def _lockstep(self, chunks: list[str], drops: list[tuple[int, ...]], width: int) -> tuple[list[list[int]], list[int]]:
+        """Segment many chunks of at most ``width`` characters; also how many candidates came up for each."""
         n, get, size = len(chunks), self.ids.get, self.size
         odd: dict[str, int] = {}
         symbols = np.full((n, width), -1, np.int32)
         for r, chunk in enumerate(chunks):
             symbols[r, : len(chunk)] = [i if (i := get(c)) is not None else odd.setdefault(c, size + len(odd)) for c in chunk]
-        place = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
-        rank, piece = self._merge_all(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), place[:, :-1].ravel(), variant)
+        rank, piece = self._merge_all(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())
         rank, piece = rank.reshape(n, width - 1), piece.reshape(n, width - 1)
         ended = symbols
         live, columns = np.arange(n), np.arange(width)
+        steps, step = np.zeros(n, np.int32), 0
+        # Rows by the step at which they drop a candidate.
+        at_step: dict[int, list[int]] = {}
+        for r, row in enumerate(drops):
+            for k in row:
+                at_step.setdefault(k, []).append(r)
+        dropping = np.zeros(n, bool)
         while len(live):
             j = rank.argmin(axis=1)  # the leftmost of equals
             rows = np.arange(len(live))
@@ -138,26 +158,21 @@ class Codec:
             if not going.all():
                 ended[live[~going]] = symbols[~going] if symbols is not ended else ended[live[~going]]
                 live, j = live[going], j[going]
-                symbols, place, rank, piece = symbols[going], place[going], rank[going], piece[going]
-                rows = np.arange(len(live))
+                symbols, rank, piece = symbols[going], rank[going], piece[going]
                 if not len(live):
                     break
             elif symbols is ended:
                 symbols = symbols.copy()
-            symbols[rows, j] = piece[rows, j]
-            # Close the gap behind the merged piece.
-            take = np.minimum(columns[None, :] + (columns[None, :] > j[:, None]), width - 1)
-            last = take[:, -1:] == width - 1
-            symbols, place = np.take_along_axis(symbols, take, 1), np.take_along_axis(place, take, 1)
-            symbols[:, -1:][last] = -1
-            take = np.minimum(take[:, :-1], width - 2)
-            rank, piece = np.take_along_axis(rank, take, 1), np.take_along_axis(piece, take, 1)
-            rank[:, -1] = _NONE
-            for side in (0, 1):
-                at = j - side
-                ok = np.flatnonzero((at >= 0) & (at < width - 1))
-                at = at[ok]
-                rank[ok, at], piece[ok, at] = self._merge_all(symbols[ok, at], symbols[ok, at + 1], place[ok, at], variant)
+            steps[live] += 1
+            rows = np.arange(len(live))
+            if step in at_step:
+                dropping[at_step[step]] = True
+                dropped = dropping[live]
+                dropping[at_step[step]] = False
+                rank[rows[dropped], j[dropped]] = _NONE
+                rows = rows[~dropped]
+            step += 1
+            symbols, rank, piece = self._merged(symbols, rank, piece, rows, j[rows], columns, width)
         names = list(odd)
         out = []
         for row in ended.tolist():
@@ -165,9 +180,36 @@ class Codec:
             if names and max(ids) >= size:
                 ids = [b for i in ids for b in ([i] if i < size else [self.byte[x] for x in names[i - size].encode("utf-8", "surrogatepass")])]
             out.append(ids)
-        return out
-
-    def _heap(self, chunk: str, variant: int) -> list[int]:
+        return out, steps.tolist()
+
+    def _merged(self, symbols: np.ndarray, rank: np.ndarray, piece: np.ndarray, rows: np.ndarray, j: np.ndarray, columns: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state after merging the candidate at ``j`` in each of ``rows``."""
+        whole = len(rows) == len(symbols)
+        s, r, p = (symbols, rank, piece) if whole else (symbols[rows], rank[rows], piece[rows])
+        own = np.arange(len(rows))
+        s[own, j] = p[own, j]
+        # Close the gap behind the merged piece.
+        take = np.minimum(columns[None, :] + (columns[None, :] > j[:, None]), width - 1)
+        last = take[:, -1:] == width - 1
+        s = np.take_along_axis(s, take, 1)
+        s[:, -1:][last] = -1
+        take = np.minimum(take[:, :-1], width - 2)
+        r, p = np.take_along_axis(r, take, 1), np.take_along_axis(p, take, 1)
+        r[:, -1] = _NONE
+        for side in (0, 1):
+            at = j - side
+            ok = np.flatnonzero((at >= 0) & (at < width - 1))
+            at = at[ok]
+            r[ok, at], p[ok, at] = self._merge_all(s[ok, at], s[ok, at + 1])
+        if whole:
+            return s, r, p
+        symbols[rows], rank[rows], piece[rows] = s, r, p
+        return symbols, rank, piece
+
+    def _heap(self, chunk: str, drops: Iterable[int] = ()) -> list[int]:
+        """Segment one chunk; ``drops`` are the ordinals, rising, of the candidates to be dropped."""
+        coming = iter(drops or ())
+        step, drop = 0, next(coming, -1)
         symbols: list[str | None] = list(chunk)
         score, ids, n = self.score, self.ids, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -178,7 +220,9 @@ class Codec:
             left, j = symbols[i], after[i]
             if left is None or j >= n or len(left) >= len(pair) or left + symbols[j] != pair:
                 continue
-            if self.limit and self._skip(variant, i, ids[left], ids[symbols[j]]):
+            step += 1
+            if step - 1 == drop:
+                drop = next(coming, -1)
                 continue
             symbols[i], symbols[j] = pair, None
             after[i] = after[j]
@@ -198,42 +242,107 @@ class Codec:
                 out += [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def _learn(self, variant: int, wanted: set[str]) -> list[str]:
-        """Segment chunks; gives back those too long to be kept."""
-        by_width: dict[int, list[str]] = {}
-        for chunk in wanted:
-            by_width.setdefault(_WIDTH[min(len(chunk), len(_WIDTH) - 1)], []).append(chunk)
-        known = self.known[variant]
-        for width, chunks in by_width.items():
-            if width:
-                for part in batched(chunks, 50_000):
-                    known.update(zip(part, self._lockstep(part, variant, width), strict=True))
-            else:
-                known.update((chunk, self._heap(chunk, variant)) for chunk in chunks)
-        return by_width.get(0, [])
+    def _learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> range:
+        """Make states of chunks, none too long, with their drops; gives their numbers."""
+        first = len(self.state_ids)
+        by_width: dict[int, list[int]] = {}
+        for k, (chunk, _) in enumerate(wanted):
+            by_width.setdefault(_WIDTH[len(chunk)], []).append(k)
+        found: list[list[int]] = [[]] * len(wanted)
+        steps = [0] * len(wanted)
+        for width, places in by_width.items():
+            for part in batched(places, 50_000):
+                done = self._lockstep([wanted[k][0] for k in part], [wanted[k][1] for k in part], width)
+                for k, ids, n in zip(part, *done, strict=True):
+                    found[k], steps[k] = ids, n
+        self.state_chunk += [w[0] for w in wanted]
+        self.state_drops += [w[1] for w in wanted]
+        self.state_ids += found
+        self.state_steps += steps
+        return range(first, len(self.state_ids))
+
+    def _draws(self, base: int, most: int) -> Iterator[int]:
+        """The steps, up to ``most``, at which candidates of an occurrence are dropped."""
+        step = -1
+        for r in count(1):
+            if step >= most:
+                return
+            u = _mixed((base + r * _STEP) & _M64)
+            passed = bisect_left(self.falling, -u) - 1
+            step += passed + (passed < RUN)
+            if passed < RUN:
+                yield step
+
+    def _drawn(self, chunks: list[str], base: np.ndarray) -> list[list[int]]:
+        """The pieces of each occurrence of a chunk; ``base`` seeds its draws."""
+        known, roots, state_ids, state_drops = self.known[0], self.roots, self.state_ids, self.state_drops
+        long = [i for i, chunk in enumerate(chunks) if len(chunk) > WIDTHS[-1]]
+        new = [c for c in dict.fromkeys(chunks) if c not in roots and len(c) <= WIDTHS[-1]]
+        for chunk, state in zip(new, self._learn([(c, ()) for c in new]), strict=True):
+            roots[chunk], known[chunk] = state, state_ids[state]
+        if long:
+            if not self.limit:
+                cold = {c: self._heap(c) for c in {chunks[i] for i in long}}
+                return [cold[c] if len(c) > WIDTHS[-1] else known[c] for c in chunks]
+            at = np.array([i for i, chunk in enumerate(chunks) if len(chunk) <= WIDTHS[-1]], np.int64)
+        elif not self.limit:
+            return [known[c] for c in chunks]
+        else:
+            at = np.arange(len(chunks))
+        states = np.full(len(chunks), -1, np.int64)
+        states[at] = [roots[chunks[i]] for i in at.tolist()] if long else [roots[c] for c in chunks]
+        # From round to round only those stay that drop one more candidate. ``done`` is the first step not yet drawn for.
+        done, r = np.zeros(len(at), np.int64), 0
+        while len(at):
+            r += 1
+            left = np.array(self.state_steps, np.int64)[states[at]] - done
+            u = _mixed_all(base[at] + np.uint64(r * _STEP & _M64))
+            u = np.minimum(u, np.uint64(_M64 - 1))
+            hit = (left > 0) & (u >= self.passes[np.minimum(np.maximum(left, 0), RUN)])
+            at, done, u = at[hit], done[hit], u[hit]
+            if not len(at):
+                break
+            drop = done + len(self.passes) - 1 - np.searchsorted(self.passes[::-1], u, "right")
+            pairs, where = np.unique(states[at] << 12 | drop, return_inverse=True)
+            follow = self.after
+            missing = [p for p in pairs.tolist() if p not in follow]
+            follow.update(zip(missing, self._learn([(self.state_chunk[p >> 12], (*state_drops[p >> 12], p & 0xFFF)) for p in missing]), strict=True))
+            states[at] = np.array([follow[p] for p in pairs.tolist()], np.int64)[where]
+            done = drop + 1
+        out = [state_ids[s] if s >= 0 else [] for s in states.tolist()]
+        for i in long:
+            out[i] = self._heap(chunks[i], self._draws(int(base[i]), 3 * len(chunks[i])))
+        return out
 
     def encode_all(self, texts: list[str], keys: list[int]) -> list[list[int]]:
-        """Token ids of each text; a text's variant follows from its key."""
-        out: list[list[int]] = [[] for _ in texts]
-        for variant, known in enumerate(self.known):
-            mine = [i for i, key in enumerate(keys) if key % len(self.known) == variant]
-            if len(known) > CACHE_CHUNKS // len(self.known):
-                known.clear()
-            cut = []
-            for i in mine:
-                parts = texts[i].split(MARK) if texts[i] else []
-                cut.append([_CHUNK.findall((MARK if not k else "") + part.replace(" ", MARK)) for k, part in enumerate(parts)])
-            wanted: set[str] = set()
-            for parts in cut:
-                wanted.update(*parts)
-            long = self._learn(variant, wanted.difference(known))
-            for i, parts in zip(mine, cut, strict=True):
-                for k, chunks in enumerate(parts):
-                    if k:
-                        out[i] += self.mark_bytes
-                    out[i].extend(chain.from_iterable(map(known.__getitem__, chunks)))
-            for chunk in long:
-                del known[chunk]
+        """Token ids of each text; what is dropped follows from its key and the place."""
+        if len(self.state_ids) > CACHE_STATES:
+            self._forget()
+        chunks: list[str] = []
+        ends: list[list[int]] = []
+        for text in texts:
+            ends.append([])
+            for k, part in enumerate(text.split(MARK) if text else []):
+                chunks += _CHUNK.findall((MARK if not k else "") + part.replace(" ", MARK))
+                ends[-1].append(len(chunks))
+        sizes, at = [], 0
+        for own in ends:
+            sizes.append((own[-1] if own else at) - at)
+            at += sizes[-1]
+        place = np.arange(len(chunks)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+        key = _mixed_all(np.array([(k + 1) * _STEP & _M64 for k in keys], np.uint64) + np.uint64(self.seed))
+        base = _mixed_all(np.repeat(key, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP))
+        found = self._drawn(chunks, base)
+        out: list[list[int]] = []
+        at = 0
+        for own in ends:
+            ids: list[int] = []
+            for k, end in enumerate(own):
+                if k:
+                    ids += self.mark_bytes
+                ids.extend(chain.from_iterable(found[at:end]))
+                at = end
+            out.append(ids)
         return out
 
     def encode(self, text: str, key: int = 0) -> list[int]:
@@ -288,7 +397,7 @@ def encode_texts(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 31)).alias("key")).mapInArrow(
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key")).mapInArrow(
         run, f"id {id_type}, n_tokens long, ids_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
     )
     return found.withColumnRenamed("id", id_col)
