@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.errors import QuerySyntaxError
+from skein.errors import ArgumentError, QuerySyntaxError
 from skein.functions.exprs import Exprs
 from skein.functions.typed import Typed, equal, fit
 from skein.plans import ast as A
@@ -64,6 +64,9 @@ def shortest(c, state, p: A.Pattern):
         if front.isEmpty():
             break
         seen = materialise(seen.union(front.select("src", "cur")).distinct())
+    else:
+        if high is None or high > MAX_HOPS:  # pairs are open and may lie further apart
+            raise ArgumentError("PathTooLong", f"paths of more than {MAX_HOPS} relationships")
     paths = found[0]
     for x in found[1:]:
         paths = paths.unionAll(x)
