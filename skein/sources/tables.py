@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.sources.graph import Graph
 
 #: Lines that one order may have, at most, in a relationship's key.
 LINES = 1 << 12
+#: Keys of suppliers, at most, in a relationship's key between two of them.
+SUPPLIERS = (1 << 20) - 1
+
+
+def _pair_key(high: Column, low: Column, most: int, step: int, what: str) -> Column:
+    """``high * step + low``; raises where ``low`` is not from 0 to ``most``, beyond which two pairs could share a key."""
+    return F.when((low >= 0) & (low <= most), high * step + low).otherwise(F.raise_error(F.concat(F.lit(f"a relationship's key has room for {most} {what}, not for "), low.cast("string"))))
 
 
 def _props(df: DataFrame, prefix: str) -> dict[str, str]:
@@ -37,7 +44,7 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
     # global sort, and the numbering is pruned where no query asks for relationship ids.
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*items.columns))
     items = items.withColumn("__line", line)
-    key = F.col("l_orderkey") * LINES + F.col("__line")
+    key = _pair_key(F.col("l_orderkey"), F.col("__line"), LINES, LINES, "lines of an order")  # lines count from 1
     g.add_edges("CONTAINS", items, key, ("Order", "l_orderkey"), ("Part", "l_partkey"), {c.removeprefix("l_"): c for c in items.columns if c not in ("l_orderkey", "l_partkey", "__line")})
     g.add_edges("SUPPLIED_BY", items, key, ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), {"quantity": "l_quantity"})
     g.add_edges("BY", events, F.col("event_id"), ("Event", "event_id"), ("User", "user_id"))
@@ -45,7 +52,7 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
     g.add_edges("NEXT", after, F.col("event_id"), ("Event", "event_id"), ("Event", "next_id"), {"value": "value"})
     s = frames["Supplier"].select("s_suppkey", "s_nationkey")
     same = s.join(s.select(F.col("s_suppkey").alias("other"), "s_nationkey"), "s_nationkey").where("s_suppkey < other")
-    g.add_edges("SAME_NATION", same, F.col("s_suppkey") * (1 << 20) + F.col("other"), ("Supplier", "s_suppkey"), ("Supplier", "other"))
+    g.add_edges("SAME_NATION", same, _pair_key(F.col("s_suppkey"), F.col("other"), SUPPLIERS, SUPPLIERS + 1, "suppliers"), ("Supplier", "s_suppkey"), ("Supplier", "other"))
     return g
 
 
