@@ -8,11 +8,15 @@ strings inside texts are escaped with a backslash, reversibly, so turns can be r
 Control strings hold no backslash.  Escaping doubles every backslash and then puts one behind
 the first character of each control string.  Runs of backslashes of the original are thus even,
 and single ones were inserted: removing one backslash of each pair, or a single one, restores
-the text.
+the text.  A control string may also come about where two text parts meet; a single backslash is
+put between them there.  Placeholders begin with ``<`` and end with ``>``, behind or in front of
+which no control string goes on, so none comes about at their edges.
 
 Defined results: rows are ordered by turn, then role, then text (nulls first); repeated rows
 are repeated turns; a null text is empty and a null role is the empty role; a null conversation
-id is a conversation of its own; further columns of the input are ignored.
+id is a conversation of its own; a part without a type is a text, null texts are empty; a part of
+any type but text, image, audio and document becomes an ``other`` placeholder of no tokens, its
+type is recorded as it is; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ ROLE, BODY, END = "<|role|>", "<|body|>", "<|end|>"
 #: Control strings of this template, and of common ones, that are escaped inside texts.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
 PART_TYPE = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+#: Parts that placeholders name.
+ATTACHED = ("image", "audio", "document")
+#: Neighbouring characters inside control strings.
+_INSIDE = tuple(dict.fromkeys(c[i : i + 2] for c in CONTROL for i in range(len(c) - 1)))
 PATCH, AUDIO_TOKENS_PER_SECOND, TOKENS_PER_PAGE = 14, 25, 512
 
 
@@ -62,19 +70,22 @@ def _expanded(part: Column) -> Column:
 
 def visit(parts: Column) -> tuple[Column, Column]:
     """The flattened body of a turn, and its attachments in order of their placeholders."""
-    parts = F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>"))
-    is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
-    body = F.transform(
-        parts,
-        lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), p["type"], F.lit(":"), i.cast("string"), F.lit("|>"))
-        ),
-    )
+    numbered = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")), lambda p, i: F.struct(i.alias("part"), p.alias("p")))
+    is_text = lambda x: F.coalesce(x["p"]["type"], F.lit("text")) == "text"
+    text = lambda x: F.coalesce(x["p"]["text"], F.lit(""))
+    # An empty text has no edge.
+    seen = F.filter(numbered, lambda x: ~is_text(x) | (text(x) != ""))
+    name = lambda x: F.when(x["p"]["type"].isin(*ATTACHED), x["p"]["type"]).otherwise("other")
+
+    def piece(x: Column, i: Column) -> Column:
+        last = F.get(seen, i - 1)
+        meets = F.coalesce(is_text(last) & F.concat(F.right(text(last), F.lit(1)), F.left(text(x), F.lit(1))).isin(*_INSIDE), F.lit(False)) & (i > 0)
+        return F.when(is_text(x), F.concat(F.when(meets, "\\").otherwise(""), escape(text(x)))).otherwise(F.concat(F.lit("<|"), name(x), F.lit(":"), x["part"].cast("string"), F.lit("|>")))
+
     attachments = F.transform(
-        F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("part"), p.alias("p"))), lambda x: ~is_text(x["p"])),
-        lambda x: F.struct(x["part"].alias("part"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), _expanded(x["p"]).alias("tokens")),
+        F.filter(numbered, lambda x: ~is_text(x)), lambda x: F.struct(x["part"].alias("part"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), _expanded(x["p"]).alias("tokens"))
     )
-    return F.array_join(body, ""), attachments
+    return F.array_join(F.transform(seen, piece), ""), attachments
 
 
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", trained_role: str = "assistant") -> DataFrame:
@@ -129,10 +140,21 @@ def read_back(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, mask: Column) -> Column:
-    """The unescaped texts of the masked runs, read at the turns that the mask marks.
+    """The unescaped texts of the runs that count for the loss, cut out by the lengths of the runs.
 
-    Every third run of the mask is the tail of a turn, so run ``3 i + 1`` masks turn ``i``.
+    Three runs cover a turn with its end mark.  Cutting turn by turn keeps the work linear; runs
+    whose lengths do not add up to their turn's raise.
     """
-    turns = F.transform(F.filter(F.split(formatted, r"<\|end\|>", -1), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    kept = F.filter(turns, lambda t: F.element_at(mask, (t["i"] * 3 + 2).cast("int"))["loss"])
-    return F.transform(kept, lambda t: unescape(F.substring_index(t["c"], BODY, -1)))
+    turns = F.transform(F.filter(F.split(formatted, r"<\|end\|>", -1), lambda c: c != ""), lambda c, i: F.struct(F.slice(mask, i * 3 + 1, F.lit(3)).alias("runs"), c.alias("c")))
+    chars = lambda t, k: t["runs"][k]["chars"].cast("int")
+    fits = lambda t: chars(t, 0) + chars(t, 1) + chars(t, 2) == F.length(t["c"]) + len(END)
+    kept = F.filter(turns, lambda t: F.when(fits(t), t["runs"][1]["loss"]).otherwise(F.raise_error(F.lit("the loss mask does not fit the text")).cast("boolean")))
+    return F.transform(kept, lambda t: unescape(F.substring(t["c"], chars(t, 0) + 1, chars(t, 1))))
+
+
+def body_parts(body: Column) -> Column:
+    """The parts of an escaped body, as array<struct<type, text>>: texts, and the placeholders' names as they are."""
+    mark = r"<\|(?:image|audio|document|other):[0-9]+\|>"
+    texts, marks = F.split(body, mark, -1), F.regexp_extract_all(body, F.lit(mark), F.lit(0))
+    both = F.transform(texts, lambda t, i: F.array(F.struct(F.lit("text").alias("type"), unescape(t).alias("text")), F.struct(F.lit("mark").alias("type"), F.get(marks, i).alias("text"))))
+    return F.filter(F.flatten(both), lambda x: x["text"] != "")
