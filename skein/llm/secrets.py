@@ -4,7 +4,8 @@ Plain patterns find assignments, access keys and long hexadecimal runs.  Runs of
 hexadecimal characters and PEM blocks are only *candidates*: they are decoded, and a span is
 reported when the bytes parse as a key encoding (nested DER lengths that add up, an OpenSSH
 private key with its length-prefixed fields) or as a signed token whose header names an
-algorithm.
+algorithm that signs.  PEM blocks may have header lines and escaped line breaks, as in JSON
+files, and base64 may be wrapped over lines without any marks.
 
 Defined results: a null text counts as empty; empty texts give no spans; repeated rows are
 scanned one by one; further columns of the input are ignored.
@@ -17,12 +18,16 @@ import binascii
 import hashlib
 import json
 import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import bounded_batches
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "ssh")
 
@@ -30,8 +35,13 @@ _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+_HEADER = re.compile(r"(?<![A-Za-z0-9])eyJ")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----")
+#: Base64 that is wrapped over lines; a line may end with the two characters of an escaped break.
+_BREAK = r"(?:\\r)?(?:\\n|\r?\n)"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{{40,}}+(?:{_BREAK}[A-Za-z0-9+/]++)++={{0,2}}")
+_LINES = re.compile(_BREAK)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{64,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{96,}")
 
@@ -111,16 +121,82 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    """Whether both parts are base64url JSON objects and the header names an algorithm."""
-    parts = []
-    for part in (header, payload):
-        raw = _decode64(part)
-        try:
-            parts.append(json.loads(raw) if raw is not None else None)
-        except (ValueError, RecursionError):
-            return False
-    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
+def is_encrypted_key(data: bytes) -> bool:
+    """Whether ``data`` is an encrypted PKCS#8 key: an algorithm identifier and an octet string."""
+    outer = _tlv(data, 0, len(data))
+    if outer is None or outer[0] != _SEQUENCE or outer[2] != len(data):
+        return False
+    parts = _children(data, outer[1], outer[2])
+    if not parts or [p[0] for p in parts] != [_SEQUENCE, _OCTETS]:
+        return False
+    algorithm = _children(data, parts[0][1], parts[0][2])
+    return bool(algorithm) and algorithm[0][0] == _OID
+
+
+def _json_object(part: str) -> dict | None:
+    raw = _decode64(part)
+    try:
+        found = json.loads(raw) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_signed_token(header: str, payload: str, signature: str = "c2ln") -> bool:
+    """Whether header and payload are base64url JSON objects, the header names an algorithm that signs, and there is a signature."""
+    head = _json_object(header)
+    return head is not None and isinstance(head.get("alg"), str) and head["alg"].lower() != "none" and bool(_decode64(signature)) and _json_object(payload) is not None
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens.  A header may follow any character but a letter or digit."""
+    for run in _DOTTED.finditer(text):
+        parts = run[0].split(".")
+        at, past = run.start(), 0
+        for k, part in enumerate(parts[:-2]):
+            if k >= past and "eyJ" in part and _json_object(parts[k + 1]) is not None:
+                for m in _HEADER.finditer(part):
+                    if is_signed_token(part[m.start() :], parts[k + 1], parts[k + 2]):
+                        yield at + m.start(), at + len(part) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+                        past = k + 3
+                        break
+            at += len(part) + 1
+
+
+def _pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of PEM blocks that hold a private key, also with header lines and escaped line breaks."""
+    for m in _PEM.finditer(text):
+        stop = text.find("-----", m.end())
+        tail = f"-----END {m[1]}-----"
+        if stop < 0 or "PRIVATE KEY" not in m[1] or not text.startswith(tail, stop):
+            continue
+        lines = [x.strip() for x in _LINES.split(text[m.end() : stop])]
+        headers = [x for x in lines if ":" in x]
+        body = _decode64("".join("".join(x.split()) for x in lines if ":" not in x))
+        sealed = any("ENCRYPTED" in h for h in headers) and any(h.startswith("DEK-Info:") for h in headers)
+        if body and (_key_kind(body) or is_encrypted_key(body) or sealed and len(body) % 8 == 0):
+            yield m.start(), stop + len(tail)
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of keys in base64 that is wrapped over lines.  The key's own length tells the line on which it ends."""
+    for m in _WRAPPED.finditer(text):
+        body = _LINES.sub("", m[0])
+        head = _decode64(body[:16])
+        outer = _tlv(head, 0, 1 << 32) if head else None
+        if outer and outer[0] == _SEQUENCE:
+            body = body[: -(-outer[2] // 3) * 4]
+        kind = _key_kind(_decode64(body))
+        if kind is None:
+            continue
+        end, left = m.start(), len(body)
+        for line in _LINES.finditer(m[0] + "\n"):
+            size = m.start() + line.start() - end
+            if left <= size:
+                break
+            left -= size
+            end = m.start() + line.end()
+        yield m.start(), end + left, kind
 
 
 def _key_kind(data: bytes | None) -> str | None:
@@ -131,6 +207,11 @@ def _key_kind(data: bytes | None) -> str | None:
     return "ssh" if is_ssh_key(data) else None
 
 
+def _within(at: int, spans: list[tuple[int, int]]) -> bool:
+    k = bisect_right(spans, (at, sys.maxsize)) - 1
+    return k >= 0 and at < spans[k][1]
+
+
 def scan_text(text: str) -> list[tuple[int, int, str]]:
     """(start, rank of the kind, end, kind) of every span of one text, in that order."""
     found: list[tuple[int, int, int, str]] = []
@@ -150,19 +231,21 @@ def scan_text(text: str) -> list[tuple[int, int, str]]:
     for m in _HEX.finditer(text):
         add("hex", *m.span())
     if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            if is_signed_token(m[1], m[2]):
-                add("jwt", *m.span())
+        for start, end in _tokens(text):
+            add("jwt", start, end)
     inside: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if "PRIVATE KEY" in m[1]:
-                body = _decode64("".join(m[2].split()))
-                if _key_kind(body) or (body and "ENCRYPTED" in m[1] and _tlv(body, 0, len(body))):
-                    add("pem", *m.span())
-                    inside.append(m.span())
+        for start, end in _pem_blocks(text):
+            add("pem", start, end)
+            inside.append((start, end))
+    blocks = len(inside)
+    for start, end, kind in _wrapped(text):
+        if not _within(start, inside[:blocks]):
+            add(kind, start, end)
+            inside.append((start, end))
+    inside.sort()
     for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and (kind := _key_kind(_decode64(m[0]))):
+        if not _within(m.start(), inside) and (kind := _key_kind(_decode64(m[0]))):
             add(kind, *m.span())
     for m in _HEX_ANY.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
@@ -192,6 +275,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, counts by kind, a digest of the base spans, all spans."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     found = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
