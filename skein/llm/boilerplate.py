@@ -8,7 +8,8 @@ A page counts once for a line however often it repeats it.  Counting is pre-aggr
 its shuffle, so a hot site or line costs one row per task.  A site has fewer boilerplate lines
 than its mean number of lines per page divided by the ratio (every one of them is on that share
 of its pages), so they travel as one array per site, repeated for each salt; the pages meet
-them by (site, salt), which spreads a hot site over many tasks.
+them by (site, salt), which spreads a hot site over many tasks; the salt follows from all of a
+row's columns, so equal pages of a site do not meet in one task.
 
 Defined results: a null site is a site of its own; a null text has no lines and stays null;
 blank lines are never dropped; repeated rows count as pages of their own; an empty table gives
@@ -31,6 +32,15 @@ def _key(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def row_salt(rows: DataFrame) -> Column:
+    """A salt from all columns of a row, so that equal texts of a site are spread as well.
+
+    It follows from the row alone: a task that runs again gives the same salts.
+    """
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int") if plain else F.lit(0)
+
+
 def boilerplate_lines(pages: DataFrame, site: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
     """One row per site with boilerplate: ``site``, ``n_pages`` and ``drop``, its lines' keys."""
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.coalesce(text, F.lit(""))), lambda x: F.trim(x) != ""), _key))
@@ -52,16 +62,18 @@ def drop_boilerplate(
     text = F.col(text_col)
     common = boilerplate_lines(pages, site, text, ratio, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     common = common.select(*(F.col(c).alias(f"__{c}") for c in ("site", "none", "salt", "drop")))
-    salted = pages.withColumns({"__s": F.coalesce(site, F.lit("")), "__n": site.isNull(), "__r": F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")})
+    salted = pages.withColumns({"__s": F.coalesce(site, F.lit("")), "__n": site.isNull(), "__r": row_salt(pages)})
     met = salted.join(common, (F.col("__s") == F.col("__site")) & (F.col("__n") == F.col("__none")) & (F.col("__r") == F.col("__salt")), "left")
-    drop = F.coalesce(F.col("__drop"), F.array().cast("array<bigint>"))
-    kept = F.filter(lines_of(text), lambda x: (F.trim(x) == "") | ~F.array_contains(drop, _key(x)))
+    # The page's own boilerplate, so that a line is not held against all of the site's.
+    met = met.withColumn("__gone", F.when(F.col("__drop").isNotNull(), F.array_intersect(F.transform(lines_of(text), _key), "__drop")))
+    met = met.withColumn("__gone", F.when(F.size("__gone") > 0, F.col("__gone")))
+    kept = F.filter(lines_of(text), lambda x: (F.trim(x) == "") | ~F.array_contains("__gone", _key(x)))
     if keep_whole:
         kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(lines_of(text))
-    columns = {text_col: F.when(F.size(drop) == 0, text).otherwise(F.array_join(kept, "\n"))}
+    columns = {text_col: F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))}
     if counts:
         n = F.coalesce(F.size(lines_of(text)), F.lit(0)).cast("long")
-        columns |= {counts[0]: n, counts[1]: F.when(F.size(drop) == 0, F.lit(0)).otherwise(F.coalesce(n - F.size(kept), F.lit(0))).cast("long")}
+        columns |= {counts[0]: n, counts[1]: F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.coalesce(n - F.size(kept), F.lit(0))).cast("long")}
     order = [c for c in pages.columns if c not in columns]
     return met.select(*(F.col(f"`{c}`") for c in order), *(v.alias(k) for k, v in columns.items())).select(*(F.col(f"`{c}`") for c in (*pages.columns, *(c for c in columns if c not in pages.columns))))
 
