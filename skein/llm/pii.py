@@ -21,6 +21,7 @@ rows are scanned one by one; further columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -59,8 +60,11 @@ CONTEXT = {
     "tel": (("phone", "call", "tel", "mobile", "fax", "dial"), ("isbn", "order", "part")),
 }
 CONTEXT_CHARS = 40
-SPAN_TYPE = "array<struct<kind:int,start:int,end:int,form:int,gazetteer:int,context:int,size:int,digits:int>>"
-FEATURES = ("form", "gazetteer", "context", "size", "digits")
+SPAN_TYPE = "array<struct<kind:int,start:int,end:int,form:int,gazetteer:int,context:int,size:int,digits:int,edge:int,case:int>>"
+#: The first three are the votes; the classifier alone sees the others: length, share of digits, what stands around a span, its letters.
+FEATURES = ("form", "gazetteer", "context", "size", "digits", "edge", "case")
+#: Matches whose lengths are summed at once.
+BLOCK = 64
 
 
 def _digits(value: Column) -> Column:
@@ -118,31 +122,49 @@ def _guard(kind: str, text: Column, has_digit: Column) -> Column:
     return has_digit & (F.contains(text, F.lit("+")) if kind == "phone" else F.lit(True))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts_of(sizes: Column) -> Column:
+    """The sum of the sizes in front of each, by blocks, so that the work does not grow with their square."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y)
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    of_blocks = lambda all_: F.transform(F.sequence(F.lit(0), block(F.size(all_))), lambda b: total(F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))))
+    before = lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
+    place = lambda all_, front: F.transform(all_, lambda _, i: F.get(front, block(i)) + total(F.slice(all_, block(i) * BLOCK + 1, i % BLOCK)))
+    return _let(sizes, lambda all_: _let(of_blocks(all_), lambda sums: _let(before(sums), lambda front: place(all_, front))))
+
+
 def candidates(kind: str, text: Column, has_digit: Column) -> Column:
     """All candidate spans of one kind with the labelers' votes and the features, by start."""
     gaps = F.split(text, PATTERNS[kind], -1)
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.lower(F.right(g, F.lit(CONTEXT_CHARS))).alias("before"), h.alias("hit")))
+    around = lambda g, h: F.zip_with(
+        F.zip_with(F.slice(g, 1, F.size(h)), F.slice(g, F.lit(2), F.size(h)), lambda x, y: F.struct(F.length(x).alias("gap"), F.lower(F.right(x, F.lit(CONTEXT_CHARS))).alias("before"), F.left(y, F.lit(1)).alias("after"))),
+        h, lambda x, v: F.struct(x["gap"].alias("gap"), x["before"].alias("before"), x["after"].alias("after"), v.alias("hit")),
+    )
     good, bad = CONTEXT[kind]
 
-    def span(at: Column, p: Column) -> Column:
+    def span(start: Column, p: Column) -> Column:
         v, n = p["hit"], F.length(p["hit"])
         share = F.length(_digits(v)) * 4 / n
+        blank = lambda c: (F.trim(F.translate(c, "\n\t\r", "   ")) == "").cast("int")
+        upper, lower = v.rlike("[A-Z]").cast("int"), v.rlike("[a-z]").cast("int")
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), (at + p["gap"]).alias("start"), (at + p["gap"] + n).alias("end"),
+            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + n).alias("end"),
             F.when(_form(kind, v), 1).otherwise(-1).alias("form"), _gazetteer(kind, v).alias("gazetteer"),
             F.when(_any_of(p["before"], good), 1).when(_any_of(p["before"], bad), -1).otherwise(0).alias("context"),
             F.least(F.lit(7), F.floor(F.log2(n.cast("double"))).cast("int")).alias("size"), F.floor(share).cast("int").alias("digits"),
+            (2 * blank(F.right(p["before"], F.lit(1))) + F.greatest(blank(p["after"]), p["after"].isin(".", ",", ";", ")").cast("int"))).alias("edge"), (2 * upper + lower).alias("case"),
         )
 
     none = F.array().cast(SPAN_TYPE)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    folded = F.aggregate(
-        pairs, start,
-        lambda s, p: F.struct((s["at"] + p["gap"] + F.length(p["hit"])).alias("at"), F.array_append(s["spans"], span(s["at"], p)).cast(SPAN_TYPE).alias("spans")),
-        lambda s: s["spans"],
-    )
-    return F.when(_guard(kind, text, has_digit), F.when(F.size(hits) > 0, folded).otherwise(none)).otherwise(none)
+    sizes = lambda ps: F.transform(ps, lambda p: p["gap"] + F.length(p["hit"]))
+    spans = lambda ps: F.zip_with(starts_of(sizes(ps)), ps, lambda at, p: span(at + p["gap"], p)).cast(SPAN_TYPE)
+    found = _let(hits, lambda h: F.when(F.size(h) > 0, _let(around(gaps, h), spans)).otherwise(none))
+    return F.when(_guard(kind, text, has_digit), found).otherwise(none)
 
 
 def estimate(counts: list[tuple], rounds: int = 30) -> dict[tuple[int, int, int, int], float]:
