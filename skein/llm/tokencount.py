@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import bounded_batches
+
 #: Texts longer than this many characters are cut, and batches hold about this many bytes.
 PIECE_CHARS = 64_000
 BATCH_BYTES = 1_000_000
@@ -46,7 +48,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def count_tokens_in(texts: list[str], path: str) -> list[int]:
+def count_tokens_in(texts: list[str], path: str, sizes: list[int]) -> list[int]:
+    """Tokens of each text; ``sizes`` are their bytes."""
     tokenizer, counts = _tokenizer(path), [0] * len(texts)
     batch: list[str] = []
     owner: list[int] = []
@@ -62,7 +65,7 @@ def count_tokens_in(texts: list[str], path: str) -> list[int]:
         for piece in pieces(text):
             batch.append(piece)
             owner.append(i)
-            held += len(piece) * (1 if piece.isascii() else 2)
+            held += sizes[i] if len(piece) == len(text) else len(piece.encode("utf-8", "surrogatepass"))
             if held >= BATCH_BYTES:
                 flush()
                 held = 0
@@ -78,10 +81,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     import os
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         for batch in batches:
-            counts = count_tokens_in(batch.column("text").to_pylist(), tokenizer)
+            counts = count_tokens_in(batch.column("text").to_pylist(), tokenizer, batch.column("n_bytes").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
