@@ -7,9 +7,10 @@ The classifier is fitted on at most ``max_labelled`` labelled rows (a documented
 with the smallest hashes of their ids), everything else covers all rows.
 
 Defined results: a null text counts as empty; empty texts get the score of their (zero)
-statistics; a document with several labels is fitted once with each of them; null labels are
-ignored; without any label every score is 0.5; repeated rows are scored one by one; further
-columns are ignored.
+statistics; a document with several labels is fitted once with each of them; of rows that share
+an id the one with the smallest text is fitted; null labels are ignored; without any label every
+score is 0.5; a null id is never held out nor learned from; repeated rows are scored one by one;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_batches
+from skein.llm.common import bounded_batches, map_batches, tidied
 
 MAX_LABELLED = 20_000
 
@@ -129,24 +130,26 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "x": [statistics(t) for t in batch["text"]]})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"id {id_type}, x array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(tidied(run), f"id {id_type}, x array<double>")
 
 
 def held_out(id_column):
     """Whether a row is never learned from."""
-    return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Trees:
     """Fit on labelled rows that are not held out, ``max_labelled`` at most."""
+    bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
         .select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y"))
         .orderBy(F.xxhash64("__id"), "__id", "y")
         .limit(max_labelled)
     )
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # at most max_labelled rows
-    rows = _measured(texts.select(F.struct("__id", "y").alias("k"), text_col), "k", text_col).collect()  # as many, times copies of an id
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("__id"))  # at most max_labelled rows
+    texts = texts.groupBy("__id", "y").agg(F.min("__text").alias("__text"))
+    rows = _measured(texts.select(F.struct("__id", "y").alias("k"), "__text"), "k", "__text").collect()  # as many
     rows.sort(key=lambda r: (str(r["id"]), r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["id"]["y"] for r in rows]))
@@ -154,6 +157,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,7 +165,7 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"id": batch["id"], "score": model.score(x)})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id string, score double")
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(tidied(run), "id string, score double")
     return found.select(F.col("id").cast(id_type).alias(id_col), "score")
 
 
@@ -169,6 +173,7 @@ def filter_quality(docs: DataFrame, model: Trees, least: float, text_col: str =
     """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
