@@ -6,8 +6,10 @@ words of its documents that occur in the benchmark at all, in runs long enough f
 anything else is a separator.  Its FM-index is searched backwards for all windows, occurrences
 are located by sampled suffix positions, and overlapping spans are merged.
 
-Benchmark windows travel in blocks of bounded size and every block meets every shard, so the
-benchmark may grow without a larger broadcast.
+Benchmark windows are made by Spark, distinct, and dealt to blocks of bounded size.  One block at
+a time is gathered and broadcast, and the documents are searched for it; most benchmarks are one
+block.  With more, the findings are kept as word ranges by row and merged at the end, so neither
+the driver nor a worker ever holds more than a block.
 
 Defined results: null and empty texts have no words and are never hit; an item without words
 has no window; items that repeat an id count once; a null item id counts as the id "null";
@@ -19,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_batches
+from skein.llm.common import bounded_batches, delete, forget, map_batches, materialise, tidied, written
 from skein.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 4_000_000
+#: Windows, counted once for each of their items, that a block holds on the average.
 BLOCK_WINDOWS = 200_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -55,13 +57,39 @@ class Block:
         self.shortest = int(self.lengths.min(initial=WINDOW))
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK_WINDOWS) -> list[Block]:
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for row in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
-        words = words_of(row["t"])
-        for k in range(max(1, len(words) - WINDOW + 1) if words else 0):
-            found.setdefault(tuple(words[k : k + WINDOW]), set()).add(row["i"])
-    return [Block([w for w, _ in part], [i for _, i in part]) for part in batched(found.items(), size)]
+class Blocks:
+    """The windows of a benchmark, written in blocks that are gathered one at a time."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str) -> None:
+        self.spark = items.sparkSession
+        bounded_batches(self.spark)
+        schema = pa.schema([("item", pa.string()), ("window", pa.binary())])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for item, text in zip(batch.column("item").to_pylist(), batch.column("text"), strict=True):
+                    words = words_of(text.as_py())
+                    windows = {b" ".join(words[k : k + WINDOW]) for k in range(max(1, len(words) - WINDOW + 1) if words else 0)}
+                    yield pa.RecordBatch.from_pydict({"item": [item] * len(windows), "window": list(windows)}, schema)
+
+        rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        self.path = written(rows.mapInArrow(cut, "item string, window binary").distinct())
+        self.count = max(1, -(-self._windows().count() // BLOCK_WINDOWS))
+
+    def _windows(self) -> DataFrame:
+        return self.spark.read.schema("item string, window binary").parquet(self.path)
+
+    def __iter__(self):
+        """Each block as a broadcast, which is destroyed when the next one is asked for."""
+        for k in range(self.count):
+            found: dict[bytes, set[str]] = {}
+            for row in self._windows().where(F.pmod(F.xxhash64("window"), F.lit(self.count)) == k).toLocalIterator():  # about BLOCK_WINDOWS rows
+                found.setdefault(bytes(row["window"]), set()).add(row["item"])
+            shared = self.spark.sparkContext.broadcast(Block([tuple(w.split(b" ")) for w in found], list(found.values())))
+            yield shared
+            if self.count > 1:
+                shared.destroy()
+        delete(self.spark, [self.path])
 
 
 def _long_runs(ids: np.ndarray, shortest: int) -> np.ndarray:
@@ -127,60 +155,109 @@ class Shard:
 def _spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Code points of word ranges."""
     raw = text.encode("utf-8", "surrogatepass").lower()
-    words = [m.span() for m in _WORD.finditer(raw)]
-    chars = lambda b: len(raw[:b].decode("utf-8", "surrogatepass"))
-    return [(chars(words[a][0]), chars(words[b - 1][1])) for a, b in ranges]
+    words = np.array([m.span() for m in _WORD.finditer(raw)], np.int64).reshape(-1, 2)
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # in front of each byte
+    return [(int(chars[words[a, 0]]), int(chars[words[b - 1, 1]])) for a, b in ranges]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: words, hit words, items, and merged spans to remove."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks_of(items, item_col, item_text_col)]  # each at most BLOCK_WINDOWS windows
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges with overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-    def judge(ids: list, texts: list[str]) -> pd.DataFrame:
-        shard = Shard(texts)
-        for block in shared:
-            shard.search(block.value)
-        rows = []
-        for d, (i, text) in enumerate(zip(ids, texts, strict=True)):
-            n_hit = int(shard.hit[shard.starts[d] : shard.starts[d + 1]].sum())
-            spans = [{"start": a, "end": b} for a, b in _spans(text, shard.hit_ranges(d))] if n_hit else []
-            items = sorted(shard.items[d])
-            rows.append((i, int(shard.counts[d]), n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0, spans))
-        return pd.DataFrame(rows, columns=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+_ROW = "words long, first array<long>, last array<long>, items array<string>"
+_FOUND = ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+
+def _searcher(block):
+    """A mapper of (row, id, text) to their words, the ranges of those that windows of ``block`` hit, and the items."""
+
+    def judge(rows: list[tuple[int, str, str]]) -> pd.DataFrame:
+        shard = Shard([r[2] for r in rows])
+        shard.search(block.value)
+        out = []
+        for d, (row, i, text) in enumerate(rows):
+            ranges = shard.hit_ranges(d) if shard.items[d] else []
+            out.append((row, i, text if ranges else None, int(shard.counts[d]), [a for a, _ in ranges], [b for _, b in ranges], sorted(shard.items[d])))
+        return pd.DataFrame(out, columns=["row", "id", "text", "words", "first", "last", "items"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list = []
-        texts: list[str] = []
-        held = 0
+        held: list[tuple[int, str, str]] = []
+        size = 0
         for batch in batches:
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                ids.append(i)
-                texts.append(text)
-                held += len(text)
-                if held >= SHARD_BYTES:
-                    yield judge(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield judge(ids, texts)
+            for row in zip(batch["row"], batch["id"], batch["text"], strict=True):
+                held.append(row)
+                size += len(row[2])
+                if size >= SHARD_BYTES:
+                    yield judge(held)
+                    held, size = [], 0
+        if held:
+            yield judge(held)
+
+    return run
+
+
+def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples():
+            ranges = merged(list(zip(r.first, r.last, strict=True)))
+            items = sorted(set(r.items))
+            spans = [{"start": a, "end": b} for a, b in _spans(r.text, ranges)] if ranges else []
+            n_hit = int(sum(b - a for a, b in ranges))
+            rows.append((r.id, r.words, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0, spans))
+        yield pd.DataFrame(rows, columns=_FOUND)
 
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: words, hit words, items, and merged spans to remove."""
+    blocks = Blocks(items, item_col, item_text_col)
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out_type = "id string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+
+    def whole(search):
+        return rows.mapInPandas(tidied(lambda batches: _told(search(batches))), out_type)
+
+    if blocks.count == 1:
+        [told] = [whole(_searcher(block)) for block in blocks]
+    else:
+        # A row has one number for all blocks.
+        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+        parts = [materialise(rows.mapInPandas(tidied(_searcher(block)), f"row long, id string, text string, {_ROW}")) for block in blocks]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.union(part)
+        found = materialise(every.groupBy("row").agg(F.first("id").alias("id"), F.max("text").alias("text"), F.first("words").alias("words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items"))))
+        for part in (rows, *parts):
+            forget(part)
+        told = found.mapInPandas(_told, out_type)
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
-        run, "id string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-    )
-    return found.select(F.col("id").cast(id_type).alias(id_col), *found.columns[1:])
+    return told.select(F.col("id").cast(id_type).alias(id_col), *_FOUND[1:])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that no window hits."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks_of(items, item_col, item_text_col)]
-    place = docs.columns.index(text_col)
-
+    blocks = Blocks(items, item_col, item_text_col)
+    left, former = docs, None
+    for block in blocks:
+        left = _clean(left, docs.columns.index(text_col), block)
+        if blocks.count > 1:
+            left = materialise(left)
+            forget(former)
+            former = left
+    return left
+
+
+def _clean(docs: DataFrame, place: int, block) -> DataFrame:
     def judge(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard([t or "" for batch in held for t in batch.column(place).to_pylist()])
-        for block in shared:
-            shard.search(block.value)
+        shard.search(block.value)
         total = np.concatenate([[0], np.cumsum(shard.hit)])
         clean = total[shard.starts[1:]] == total[shard.starts[:-1]]
         at = 0
@@ -190,12 +267,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                held.append(whole.slice(at, 500))
-                if sum(b.column(place).nbytes for b in held) >= SHARD_BYTES:
-                    yield from judge(held)
-                    held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.column(place).nbytes for b in held) >= SHARD_BYTES:
+                yield from judge(held)
+                held = []
         if held:
             yield from judge(held)
 
