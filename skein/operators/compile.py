@@ -21,7 +21,7 @@ from skein.functions.typed import (
 )
 from skein.plans import ast as A
 from skein.plans.parser import parse
-from skein.plans.uses import needed
+from skein.plans.uses import PARTS, needed
 from skein.sources.graph import EdgeTable, Graph
 from skein.sources.storage import materialise
 
@@ -39,6 +39,19 @@ class State:
     scope: dict[str, Typed] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class PathWants:
+    """Whether a named path's nodes are looked at, and which properties of its parts; None for all."""
+
+    nodes: bool
+    node_props: set[str] | None
+    rel_props: set[str] | None
+
+
+def both(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    return None if a is None or b is None else a | b
+
+
 class Compiler:
     def __init__(self, graph: Graph, params: dict[str, Any], query: A.Query) -> None:
         self.graph, self.params, self.spark = graph, params, graph.spark
@@ -59,6 +72,14 @@ class Compiler:
         found = self.uses.get(var, set())
         return None if found is None else found | set(inline)
 
+    def path_wants(self, path: str | None) -> PathWants | None:
+        if path is None:
+            return None
+        asked = None if "*" in self.uses else self.uses.get(path, set())
+        if asked is None or asked - PARTS:
+            return PathWants(True, None, None)
+        return PathWants("nodes" in asked, self.uses.get(f"{path}.nodes", set()), self.uses.get(f"{path}.relationships", set()))
+
     def rows(self, state: State) -> DataFrame:
         return state.df if state.df is not None else self.spark.range(1).select(F.lit(1).alias("__one"))
 
@@ -311,9 +332,9 @@ class Compiler:
             start = max(range(n), key=lambda k: (len(p.nodes[k].props), len(p.nodes[k].labels) > 0, -k))
         columns: list[Typed | None] = [None] * n
         between: list[tuple[Typed, Typed | None] | None] = [None] * (n - 1)  # rel or rels, inner nodes
-        path = p.path is not None
+        path = self.path_wants(p.path)
         if not (stub is not None and p.nodes[start].var == stub):
-            state, columns[start] = self.node(state, p.nodes[start])
+            state, columns[start] = self.node(state, p.nodes[start], path)
         for k in [*range(start, n - 1), *range(start - 1, -1, -1)]:
             near, far = (k, k + 1) if k >= start else (k + 1, k)
             direction = p.rels[k].direction
@@ -324,12 +345,12 @@ class Compiler:
             state = self.named_path(state, p, columns, between)
         return state
 
-    def node(self, state: State, pat: A.NodePat) -> tuple[State, Typed]:
+    def node(self, state: State, pat: A.NodePat, path: PathWants | None = None) -> tuple[State, Typed]:
         if pat.var in state.scope:
             x = state.scope[pat.var]
             return self.restrict(state, x, pat), x
         name = self.fresh(pat.var or "n")
-        scan = self.graph.node_scan(pat.labels, self.wants(pat.var, pat.props), name)
+        scan = self.graph.node_scan(pat.labels, both(self.wants(pat.var, pat.props), path.node_props if path else set()), name)
         if scan is None:
             scan = self.nothing(name)
         df = scan if state.df is None else state.df.crossJoin(scan)
@@ -355,10 +376,10 @@ class Compiler:
             state = State(state.df.where(equal(e.property(x, key), e(value))), state.scope)
         return state
 
-    def hop(self, state: State, near: Typed | None, near_pat: A.NodePat, rel: A.RelPat, direction: str, to: A.NodePat, seen: list, path: bool, backwards: bool) -> tuple[State, Typed, tuple[Typed, Typed | None], Typed]:
+    def hop(self, state: State, near: Typed | None, near_pat: A.NodePat, rel: A.RelPat, direction: str, to: A.NodePat, seen: list, path: PathWants | None, backwards: bool) -> tuple[State, Typed, tuple[Typed, Typed | None], Typed]:
         tables = self.graph.edge_tables(rel.types)
         usable = [t for t in tables if self.fits_end(t, direction, to)]
-        props = self.wants(rel.var, rel.props) if not path or rel.var else None
+        props = both(self.wants(rel.var, rel.props), path.rel_props if path else set())
         if rel.span:
             return self.stretch(state, near, near_pat, rel, direction, to, usable if len(to.labels) == 0 else tables, props, seen, path, backwards)
         prefix = self.fresh("e") + "_"
@@ -396,14 +417,14 @@ class Compiler:
         ends = {"out": [t.target], "in": [t.source], "both": [t.source, t.target]}[direction]
         return not to.labels or any(e is None or set(to.labels) <= set(e) for e in ends)
 
-    def arrive(self, state: State, to: A.NodePat, tables: list[EdgeTable], direction: str, far: Column, far_labels: Column, path: bool) -> tuple[State, Typed]:
+    def arrive(self, state: State, to: A.NodePat, tables: list[EdgeTable], direction: str, far: Column, far_labels: Column, path: PathWants | None) -> tuple[State, Typed]:
         """Bind the node at the end of a hop, without a join where its id and labels suffice."""
         if to.var in state.scope:
             x = state.scope[to.var]
             state = State(state.df.where(x.col["id"] == far), state.scope)
             return self.restrict(state, x, to), x
-        props = self.wants(to.var, to.props) if not path or to.var else None
-        ends = [e for t in tables for e in {"out": [t.target], "in": [t.source], "both": [t.source, t.target]}[direction]]
+        props = both(self.wants(to.var, to.props), path.node_props if path else set())
+        ends = self.far_ends(tables, direction)
         name = self.fresh(to.var or "n")
         if props == set() and all(e is not None for e in ends):
             df = state.df.withColumn(name, self.bare(far, far_labels))
@@ -417,6 +438,9 @@ class Compiler:
         state = State(df, state.scope | ({to.var: x} if to.var else {}))
         return self.inline(state, x, to.props), x
 
+    def far_ends(self, tables: list[EdgeTable], direction: str) -> list[tuple[str, ...] | None]:
+        return [e for t in tables for e in {"out": [t.target], "in": [t.source], "both": [t.source, t.target]}[direction]]
+
     def shared_labels(self, ends: list[tuple[str, ...] | None]) -> list[str]:
         """Labels that every possible end has, to scan fewer tables."""
         if not ends or any(e is None for e in ends):
@@ -447,7 +471,7 @@ class Compiler:
 
     # --- paths of several hops
 
-    def stretch(self, state: State, near: Typed | None, near_pat: A.NodePat, rel: A.RelPat, direction: str, to: A.NodePat, tables: list[EdgeTable], props: set[str] | None, seen: list, path: bool, backwards: bool):
+    def stretch(self, state: State, near: Typed | None, near_pat: A.NodePat, rel: A.RelPat, direction: str, to: A.NodePat, tables: list[EdgeTable], props: set[str] | None, seen: list, path: PathWants | None, backwards: bool):
         low, high = rel.span
         if near is None:
             state, near = self.node(state, near_pat)
@@ -455,12 +479,15 @@ class Compiler:
             return self.bound_stretch(state, near, rel, direction, to, path, backwards)
         if high is not None and high < low or not tables and low > 0:
             return self.dead_end(state, near, near_pat, rel, to)
-        cur, rs, ns = self.fresh("cur"), self.fresh("rels"), self.fresh("nodes")
-        whole = rel.var is not None and (self.uses.get(rel.var, set()) is None or bool(self.uses.get(rel.var))) or path or "*" in self.uses or bool(rel.props)
+        cur, at, rs, ns = self.fresh("cur"), self.fresh("at"), self.fresh("rels"), self.fresh("nodes")
+        whole = rel.var is not None and (self.uses.get(rel.var, set()) is None or bool(self.uses.get(rel.var))) or path is not None and path.rel_props != set() or "*" in self.uses or bool(rel.props)
         rel_type = self.rel_type(tables, props if whole else set())
-        node_type = self.node_type(None) if path else None
-        base = state.df.withColumn(cur, near.col["id"]).withColumn(rs, F.array().cast(T.ArrayType(rel_type)))
-        if path:
+        inside = path is not None and path.nodes
+        over = self.shared_labels(self.far_ends(tables, direction))
+        passed = lambda name: self.graph.node_scan(over, path.node_props, name)
+        node_type = (passed("n") if passed("n") is not None else self.nothing("n")).schema["n"].dataType if inside else None
+        base = state.df.withColumn(cur, near.col["id"]).withColumn(at, near.col["labels"]).withColumn(rs, F.array().cast(T.ArrayType(rel_type)))
+        if inside:
             base = base.withColumn(ns, F.array().cast(T.ArrayType(node_type)))
         earlier = [x for x, theirs in seen if any(a is b for a in tables for b in theirs)]
 
@@ -481,10 +508,10 @@ class Compiler:
             for other in earlier:
                 joined = joined.where(apart(r, other))
             added = F.array(fit(r, rel_type))
-            joined = joined.withColumn(rs, F.concat(added, F.col(rs)) if backwards else F.concat(F.col(rs), added)).withColumn(cur, F.col(f"{prefix}far"))
-            if path:
+            joined = joined.withColumn(rs, F.concat(added, F.col(rs)) if backwards else F.concat(F.col(rs), added)).withColumn(cur, F.col(f"{prefix}far")).withColumn(at, F.col(f"{prefix}far_labels"))
+            if inside:
                 name = self.fresh("m")
-                joined = joined.join(self.graph.all_nodes(name), F.col(cur) == F.col(f"{name}.id"))
+                joined = joined.join(passed(name), F.col(cur) == F.col(f"{name}.id"))
                 m = F.array(fit(self.bind(joined, name), node_type))
                 joined = joined.withColumn(ns, F.concat(m, F.col(ns)) if backwards else F.concat(F.col(ns), m))
             return joined.select(*front.columns)
@@ -515,16 +542,30 @@ class Compiler:
         r = self.bind(df, rs)
         seen.append((r, tables))
         state = State(df, state.scope | ({rel.var: r} if rel.var else {}))
-        state, far = self.arrive_at(state, to, F.col(cur), path)
+        state, far = self.arrive_after(state, to, tables, direction, F.col(cur), F.col(at), path, low == 0)
         inner = None
-        if path:  # the nodes behind the pattern's left one, as it is written
+        if inside:  # the nodes behind the pattern's left one, as it is written
             inner = self.bind(df, ns)
             if backwards:
                 behind = F.concat(F.slice(inner.col, F.lit(2), F.greatest(F.lit(0), F.size(inner.col) - 1)), F.array(fit(near, node_type)))
                 inner = Typed(F.when(F.size(inner.col) == 0, inner.col).otherwise(behind), inner.type)
         return state, near, (r, inner), far
 
-    def arrive_at(self, state: State, to: A.NodePat, at: Column, path: bool) -> tuple[State, Typed]:
+    def arrive_after(self, state: State, to: A.NodePat, tables: list[EdgeTable], direction: str, at: Column, labels: Column, path: PathWants | None, zero: bool) -> tuple[State, Typed]:
+        """Bind the node that steps over ``tables`` end at, or that they start from where there may be none."""
+        known = all(e is not None for e in self.far_ends(tables, direction))
+        if to.var not in state.scope and known and both(self.wants(to.var, to.props), path.node_props if path else set()) == set():
+            name = self.fresh(to.var or "n")
+            df = state.df.withColumn(name, self.bare(at, labels))
+            for label in to.labels:
+                df = df.where(F.array_contains(labels, label))
+            x = self.bind(df, name)
+            return State(df, state.scope | ({to.var: x} if to.var else {})), x
+        if zero or to.labels:
+            return self.arrive_at(state, to, at, path)
+        return self.arrive(state, to, tables, direction, at, labels, path)
+
+    def arrive_at(self, state: State, to: A.NodePat, at: Column, path: PathWants | None) -> tuple[State, Typed]:
         """Bind the node a path ends at."""
         return self.arrive(state, to, [EdgeTable("", None)], "out", at, F.lit(None).cast("array<string>"), path)
 
@@ -536,7 +577,7 @@ class Compiler:
     def node_type(self, props: set[str] | None) -> T.DataType:
         return self.graph.all_nodes("n", props).schema["n"].dataType
 
-    def bound_stretch(self, state: State, near: Typed, rel: A.RelPat, direction: str, to: A.NodePat, path: bool, backwards: bool):
+    def bound_stretch(self, state: State, near: Typed, rel: A.RelPat, direction: str, to: A.NodePat, path: PathWants | None, backwards: bool):
         """A list of relationships that is already bound has to be a walk from the node."""
         rs = state.scope[rel.var]
         low, high = rel.span

@@ -1,16 +1,24 @@
-"""Shortest paths by growing a frontier of (source, node) pairs."""
+"""Shortest paths by growing a frontier of (source, node) pairs.
+
+A frontier row holds ids only: its source, where it is, and the relationships that led there.
+Each step is one job that writes what it newly reached; what was reached before, and which pairs
+are found, is read from the files of the former steps.  Nodes and properties are joined once, for
+the paths that were found, and only where the query looks at them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.errors import ArgumentError, QuerySyntaxError
 from skein.functions.exprs import Exprs
-from skein.functions.typed import Typed, equal, fit
+from skein.functions.typed import Typed, equal
 from skein.plans import ast as A
-from skein.sources.storage import materialise
+from skein.sources.storage import materialise, written
+
+_STEP = "src long, cur long, ids array<long>, hit boolean"
 
 
 def shortest(c, state, p: A.Pattern):
@@ -28,49 +36,46 @@ def shortest(c, state, p: A.Pattern):
     left, right = state.scope[a.var], state.scope[b.var]
     tables = c.graph.edge_tables(rel.types)
     path = p.path or c.fresh("path")
-    rel_type, node_type = c.rel_type(tables, None), c.node_type(None)
-    if not tables:
+    wants = c.path_wants(p.path)
+    inside = wants is not None and wants.nodes
+    rel_props = c.wants(rel.var, rel.props) if rel.var else set()
+    rel_props = rel_props if wants is None or rel_props is None else None if wants.rel_props is None else rel_props | wants.rel_props
+    rel_type = c.rel_type(tables, rel_props)
+    over = c.shared_labels([e for t in tables for e in (t.source, t.target)])
+    nodes = c.graph.node_scan(over, wants.node_props if inside else set(), "n") if tables else None
+    node_type = (nodes if nodes is not None else c.nothing("n")).schema["n"].dataType
+    if not tables or nodes is None:
         return State(c.rows(state).limit(0).withColumn(path, F.lit(None).cast(T.StructType([T.StructField("nodes", T.ArrayType(node_type)), T.StructField("rels", T.ArrayType(rel_type))]))), state.scope)
 
     wanted = materialise(state.df.select(left.col["id"].alias("src"), right.col["id"].alias("dst")).distinct())
-    nodes = c.graph.all_nodes("n")
-    edges = c.graph.edge_scan(tables, None, rel.direction, "e_")
+    edges = c.graph.edge_scan(tables, set(rel.props), rel.direction, "e_")
     if rel.props:
         r = Typed(F.col("e_rel"), edges.schema["e_rel"].dataType)
         for key, value in rel.props.items():
             edges = edges.where(equal(Exprs({}, c.params).property(r, key), Exprs({}, c.params)(value)))
-    start = wanted.select("src").distinct().join(nodes, F.col("src") == F.col("n.id"))
-    front = start.select("src", F.col("src").alias("cur"), F.array().cast(T.ArrayType(rel_type)).alias("rels"), F.array(fit(Typed(F.col("n"), nodes.schema["n"].dataType), node_type)).alias("nodes"))
-    front = materialise(front)
-    found: list[DataFrame] = []
-    if low == 0:
-        found.append(front.join(wanted, (F.col("src") == wanted.src) & (F.col("cur") == F.col("dst"))).select(front.src, "dst", "rels", "nodes"))
-    # What is still looked for shrinks as pairs are found; frontiers never step on what they have seen.
-    seen = front.select("src", "cur")
-    open_ = wanted if low > 0 else materialise(wanted.where("src <> dst"))
-    for _ in range(min(high or MAX_HOPS, MAX_HOPS)):
-        step = front.join(edges, F.col("cur") == F.col("e_near")).join(nodes, F.col("e_far") == F.col("n.id"))
-        step = step.select("src", F.col("e_far").alias("cur"), F.concat("rels", F.array(fit(Typed(F.col("e_rel"), edges.schema["e_rel"].dataType), rel_type))).alias("rels"), F.concat("nodes", F.array(fit(Typed(F.col("n"), nodes.schema["n"].dataType), node_type))).alias("nodes"))
-        hit = step.join(open_.withColumnsRenamed({"src": "s2", "dst": "d2"}), (F.col("src") == F.col("s2")) & (F.col("cur") == F.col("d2")))
-        hit = hit.select("src", F.col("cur").alias("dst"), "rels", "nodes")
-        fresh = step.join(seen.withColumnsRenamed({"src": "s2", "cur": "c2"}), (F.col("src") == F.col("s2")) & (F.col("cur") == F.col("c2")), "left_anti")
-        if p.shortest == "one":
-            first = lambda df, end: df.withColumn("k", F.row_number().over(Window.partitionBy("src", end).orderBy(F.transform("rels", lambda r: r["id"])))).where("k = 1").drop("k")
-            hit, fresh = first(hit, "dst"), first(fresh, "cur")
-        hit, front = materialise(hit), materialise(fresh)
-        found.append(hit)
-        open_ = materialise(open_.join(hit.select(F.col("src").alias("s2"), F.col("dst").alias("d2")).distinct(), (F.col("src") == F.col("s2")) & (F.col("dst") == F.col("d2")), "left_anti"))
-        front = materialise(front.join(open_.select(F.col("src").alias("s2")).distinct(), F.col("src") == F.col("s2"), "left_semi"))
-        if front.isEmpty():
-            break
-        seen = materialise(seen.union(front.select("src", "cur")).distinct())
-    else:
-        if high is None or high > MAX_HOPS:  # pairs are open and may lie further apart
-            raise ArgumentError("PathTooLong", f"paths of more than {MAX_HOPS} relationships")
-    paths = found[0]
-    for x in found[1:]:
-        paths = paths.unionAll(x)
+    edges = materialise(edges.select("e_near", "e_far", F.col("e_rel.id").alias("e_id")))
+    found = _grow(c.spark, wanted, edges, low, high, p.shortest == "one", MAX_HOPS)
+
+    # A path's relationships in order, and the nodes that they pass.
+    every = c.graph.edge_scan(tables, rel_props, "out", "").select("rel")
+    looked = bool(rel_props) or rel_props is None or inside or rel.var is not None
     column = c.fresh(path)
+    if looked:
+        keyed = found.select(F.monotonically_increasing_id().alias("k"), "src", "dst", "ids")
+        keyed = materialise(keyed)
+        parts = keyed.select("k", F.posexplode("ids").alias("at", "e")).join(every, F.col("e") == F.col("rel.id")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "rel"))).alias("rs"))
+        rels = F.transform(F.coalesce("rs", F.array().cast(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("rel", rel_type)])))), lambda x: x["rel"])
+        paths = keyed.join(parts.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2"), "left").select("k", "src", "dst", rels.alias("rels"))
+        if inside:
+            seen = F.aggregate("rels", F.array("src"), lambda s, x: F.concat(s, F.array(F.when(F.element_at(s, -1) == x["source"], x["target"]).otherwise(x["source"]))))
+            paths = paths.withColumn("ids", seen)
+            passed = paths.select("k", F.posexplode("ids").alias("at", "e")).join(nodes, F.col("e") == F.col("n.id")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("ns"))
+            paths = paths.join(passed.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).withColumn("nodes", F.transform("ns", lambda x: x["n"]))
+    else:
+        bare = lambda x: F.struct(*(x.alias("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in rel_type.fields))
+        paths = found.select("src", "dst", F.transform("ids", bare).alias("rels"))
+    if not inside:
+        paths = paths.withColumn("nodes", F.array().cast(T.ArrayType(node_type)))
     made = paths.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.struct("nodes", "rels").alias(column))
     df = state.df.join(made, (left.col["id"] == F.col("__src")) & (right.col["id"] == F.col("__dst"))).drop("__src", "__dst")
     scope = dict(state.scope)
@@ -79,3 +84,39 @@ def shortest(c, state, p: A.Pattern):
     if rel.var:
         scope[rel.var] = scope[p.path].get("rels") if p.path else c.bind(df, column).get("rels")
     return State(df, scope)
+
+
+def _grow(spark, wanted: DataFrame, edges: DataFrame, low: int, high: int | None, one: bool, most: int) -> DataFrame:
+    """(src, dst, ids): the relationships of one shortest path for each pair, or of all of them."""
+    read = lambda paths: spark.read.schema(_STEP).parquet(*paths)
+    start = wanted.groupBy("src").agg(F.max((F.col("src") == F.col("dst")) & (low == 0)).alias("hit")).select("src", F.col("src").alias("cur"), F.array().cast("array<long>").alias("ids"), "hit")
+    steps = [written(start)]
+    total = wanted.count()
+    pairs = wanted.groupBy("src").agg(F.count(F.lit(1)).alias("pairs")).withColumnRenamed("src", "s3")
+    ends = wanted.select(F.col("src").alias("s2"), F.col("dst").alias("d2"), F.lit(True).alias("end"))
+    done = read(steps).where("hit").count() if low == 0 else 0
+    while done < total:
+        if len(steps) > min(high or most, most):
+            if high is None or high > most:  # pairs are open and may lie further apart
+                raise ArgumentError("PathTooLong", f"paths of more than {most} relationships")
+            break
+        front = read(steps[-1:])
+        if done:  # sources that have found all their ends rest
+            full = read(steps).where("hit").select("src", "cur").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n")).join(pairs, F.col("src") == F.col("s3")).where("n = pairs").select(F.col("src").alias("s4"))
+            front = front.join(full, F.col("src") == F.col("s4"), "left_anti")
+        step = front.join(edges, F.col("cur") == F.col("e_near")).select("src", F.col("e_far").alias("cur"), F.concat("ids", F.array("e_id")).alias("ids"))
+        if one:
+            step = step.groupBy("src", "cur").agg(F.min("ids").alias("ids"))
+        # A circle back to its source is a path as well, the first time it closes.
+        before = read(steps).where(F.size("ids") > 0).select(F.col("src").alias("s1"), F.col("cur").alias("c1"))
+        step = step.join(before, (F.col("src") == F.col("s1")) & (F.col("cur") == F.col("c1")), "left_anti")
+        if low == 0:
+            step = step.where("src <> cur")
+        step = step.join(ends, (F.col("src") == F.col("s2")) & (F.col("cur") == F.col("d2")), "left").select("src", "cur", "ids", F.coalesce("end", F.lit(False)).alias("hit"))
+        told = Observation()
+        path = written(step.observe(told, F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits")))
+        steps.append(path)
+        if not told.get["n"]:
+            break
+        done = done + told.get["hits"] if one else read(steps).where("hit").select("src", "cur").distinct().count()
+    return read(steps).where("hit").select("src", F.col("cur").alias("dst"), "ids")

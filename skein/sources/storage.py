@@ -8,13 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only where none is set and all runs in one process, as in tests, the warehouse stands in.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder and reading it again."""
+def written(df: DataFrame) -> str:
+    """Write ``df`` to a fresh shared folder and tell its path."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing ``df`` to the shared folder and reading it again."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
