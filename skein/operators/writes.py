@@ -63,21 +63,15 @@ def settled(c, state):
 
 
 def numbered(c, df: DataFrame, kind: str, column: str) -> DataFrame:
-    """``df`` with fresh ids, dense within each partition's range."""
-    n = df.count()
-    first = c.graph.new_ids(kind, n)
-    marked = materialise(df.withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()))
-    sizes = {r["__part"]: (r["low"], r["n"]) for r in marked.groupBy("__part").agg(F.min("__m").alias("low"), F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
-    out, at = F.lit(None).cast("long"), first
-    starts = []
-    for part in sorted(sizes):
-        low, size = sizes[part]
-        starts.append((part, at - low))
-        at += size
-    if not starts:
-        return marked.withColumn(column, out).drop("__m", "__part")
-    shift = c.spark.createDataFrame(starts, "__part int, __shift long")
-    return marked.join(F.broadcast(shift), "__part").withColumn(column, F.col("__m") + F.col("__shift")).drop("__m", "__part", "__shift")
+    """``df``, rows of files, with fresh ids that are dense in the order of its partitions."""
+    sizes = df.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
+    at = c.graph.new_ids(kind, sum(r["n"] for r in sizes))
+    shifts: dict[int, int] = {}
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        shifts[r["part"]] = at - (r["part"] << 33)  # where this partition's increasing ids begin
+        at += r["n"]
+    shift = F.element_at(F.lit([shifts.get(k, 0) for k in range(max(shifts, default=0) + 1)]), F.spark_partition_id() + 1)
+    return df.withColumn(column, F.monotonically_increasing_id() + shift)
 
 
 def struct_node(df: DataFrame, node_id: str, labels: list[str], props: dict[str, Typed]) -> Column:
@@ -101,7 +95,8 @@ def storable(key: str, x: Typed) -> None:
         raise QueryTypeError("InvalidPropertyType", f"{key} cannot hold a {family(x.type)}")
 
 
-def create(c, state, patterns: list[A.Pattern]):
+def create(c, state, patterns: list[A.Pattern], down: bool = False):
+    """``down`` tells that the rows are files already."""
     from skein.operators.compile import State
 
     for p in patterns:
@@ -112,7 +107,7 @@ def create(c, state, patterns: list[A.Pattern]):
         for r in p.rels:
             if r.var and (r.var in state.scope or r.var in c_names):
                 raise QuerySyntaxError("VariableAlreadyBound", r.var)
-    state = settled(c, state)
+    state = state if down else settled(c, state)
     for p in patterns:
         made: list[Typed] = []
         for n in p.nodes:
@@ -161,58 +156,65 @@ def new_edge(c, state, pat: A.RelPat, source: Typed, target: Typed):
 
 
 def merge(c, state, clause: A.Merge):
-    """Match the whole pattern, or create it once for each different combination of what it needs."""
+    """Match the whole pattern, or create it once for each different combination of what it needs.
+
+    Of rows that would create the same thing the first creates it; the others match what it made,
+    as they do where rows run one after another.
+    """
     from skein.operators.compile import State
 
     p = clause.pattern
     state = settled(c, state)
+    tests = []
     for x in (*p.nodes, *p.rels):
         for k, v in _values(c, state, x.props).items():
             if isinstance(x.props[k], A.Lit) and x.props[k].value is None:
                 raise SemanticError("MergeReadOwnWrites", f"{k} is null")
-            if not state.df.where(v.col.isNull()).isEmpty():
+            if not isinstance(x.props[k], A.Lit):
+                tests.append((k, v.col.isNull()))
+    if tests:
+        bad = state.df.agg(*(F.max(t).alias(f"t{i}") for i, (_, t) in enumerate(tests))).first()
+        for i, (k, _) in enumerate(tests):
+            if bad[i]:
                 raise SemanticError("MergeReadOwnWrites", f"{k} is null")
     used = [v for v in state.scope if v in {x.var for x in (*p.nodes, *p.rels)}]
     keys, inner = c.matched(state, [p], None)
     new = {v: x for v, x in inner.scope.items() if v not in state.scope}
-    found = materialise(inner.df.select(*keys.values(), *(x.col for x in new.values())))
-    if keys:
-        hit = state.df.join(found, c.same(state, keys))
-        missing = state.df.join(found.select(*keys.values()), c.same(state, keys), "left_anti")
-    else:
-        hit = state.df.crossJoin(found)
-        missing = state.df.limit(0) if not found.isEmpty() else state.df
-    matched = State(materialise(hit), state.scope | new)
-    missing = materialise(missing)
-    # Rows that would create the same thing create it once.
-    exprs = c.exprs(State(missing, state.scope))
+    # Rows that would create the same thing, and which of them comes first.
+    exprs = c.exprs(state)
     parts = {c.fresh("m"): x for x in [*(state.scope[v] for v in used), *(exprs(v) for y in (*p.nodes, *p.rels) for v in y.props.values())]}
     parts = {k: Typed(x.col["id"], LONG) if is_entity(x.type) else x for k, x in parts.items() if not is_null(x.type)}
-    tagged = missing.withColumns({k: x.col for k, x in parts.items()}) if parts else missing
-    unique = materialise(tagged.dropDuplicates(list(parts)) if parts else tagged.limit(1))
+    hit, place = c.fresh("hit"), c.fresh("place")
+    found = inner.df.select(*keys.values(), *(x.col for x in new.values()), F.lit(True).alias(hit))
+    base = state.df.withColumns({place: F.monotonically_increasing_id(), **{k: x.col for k, x in parts.items()}})
+    joined = materialise(base.join(found, c.same(state, keys) if keys else F.lit(True), "left").drop(*keys.values()))
+    matched = State(joined.where(F.col(hit)).drop(hit), state.scope | new)
+    missing = joined.where(F.col(hit).isNull()).drop(hit, *(c_ for c_ in joined.columns if c_ not in base.columns and c_ != hit))
+    first = missing.groupBy(*parts).agg(F.min(place).alias("__first")).select("__first") if parts else missing.agg(F.min(place).alias("__first"))
+    makers = materialise(missing.join(first, F.col(place) == F.col("__first")).drop("__first"))
     pattern = A.Pattern(p.nodes, [A.RelPat(r.var, r.types, r.props, "out" if r.direction == "both" else r.direction) for r in p.rels], p.path)
-    made = create_merge(c, State(unique, dict(state.scope)), pattern)
-    made_new = {v: x for v, x in made.scope.items() if v not in state.scope}
-    if parts:
-        renamed = {k: c.fresh("k") for k in parts}
-        right = made.df.select(*(F.col(k).alias(r) for k, r in renamed.items()), *(x.col for x in made_new.values()))
-        on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()))
-        created = State(materialise(tagged.join(right, on).drop(*parts, *renamed.values())), state.scope | made_new)
-    else:
-        created = State(materialise(missing.crossJoin(made.df.select(*(x.col for x in made_new.values())))), state.scope | made_new)
-    if clause.on_match and not matched.df.isEmpty():
-        matched = set_items(c, matched, clause.on_match)
-    if clause.on_create and not created.df.isEmpty():
+    created = create_merge(c, State(makers, dict(state.scope)), pattern)
+    if clause.on_create and not makers.isEmpty():
         created = set_items(c, created, clause.on_create)
-    return joined_rows(c, matched, created)
+    made_new = {v: x for v, x in created.scope.items() if v not in state.scope}
+    renamed = {k: c.fresh("k") for k in (*parts, place)}
+    right = created.df.select(*(F.col(k).alias(r) for k, r in renamed.items()), *(x.col for x in made_new.values()))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(renamed[k])) for k in parts), F.lit(True))
+    others = State(missing.join(right, on & (F.col(place) != F.col(renamed[place]))).drop(*renamed.values()), state.scope | made_new)
+    later = joined_rows(c, matched, others)
+    if clause.on_match:
+        later = settled(c, later)
+        if not later.df.isEmpty():
+            later = set_items(c, later, clause.on_match)
+    return joined_rows(c, later, created)
 
 
 def create_merge(c, state, p: A.Pattern):
     """Create a pattern some of whose nodes are bound."""
     bare = A.Pattern([A.NodePat(n.var, [], {}) if n.var in state.scope else n for n in p.nodes], p.rels, p.path)
     if len(bare.nodes) == 1 and bare.nodes[0].var in state.scope:
-        return settled(c, state)
-    return create(c, state, [bare])
+        return state
+    return create(c, state, [bare], down=True)
 
 
 def joined_rows(c, a, b):

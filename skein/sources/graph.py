@@ -23,6 +23,8 @@ from skein.sources.storage import materialise
 
 ORDINAL_BITS = 48
 SYSTEM = {"id", "labels", "source", "target"}
+#: Appends to a table after which it is written down.
+APPENDS = 16
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,9 @@ class Graph:
         self.constraints: set[tuple[str, str, str]] = set()
         self.procedures: dict[str, Any] = {}
         self.listeners: list[Any] = []
+        #: What writers touched, in order: (node or edge, ids); (all, None) where that is not known.
+        self.touched: list[tuple[str, DataFrame | None]] = []
+        self.appended: dict[str, int] = {}
 
     # --- loading
 
@@ -107,6 +112,7 @@ class Graph:
         """Nodes of one label from a table; ``props`` maps property names to columns."""
         types = {f.name: f.dataType for f in df.schema}
         columns = [_plain(F.col(c), types[c])[0].alias(n) for n, c in props.items()]
+        self.touched.append(("all", None))
         self.nodes[label] = NodeTable(df.select(self.global_id(f"node:{label}", F.col(key)).alias("id"), *columns), labels or (label,))
         return self
 
@@ -117,6 +123,7 @@ class Graph:
         made = df.select(
             self.global_id(f"edge:{name}", key).alias("id"), self.global_id(f"node:{source[0]}", F.col(source[1])).alias("source"), self.global_id(f"node:{target[0]}", F.col(target[1])).alias("target"), *columns
         )
+        self.touched.append(("all", None))
         self.edges[name] = EdgeTable(type or name, made, self.nodes[source[0]].labels, self.nodes[target[0]].labels)
         return self
 
@@ -299,30 +306,42 @@ class Graph:
     def put_nodes(self, labels: tuple[str, ...], df: DataFrame) -> None:
         """Append nodes (id and properties) that carry ``labels``."""
         name = "+" + ":".join(labels)
+        self.touch("node", df)
         if name in self.nodes:
             old = self.nodes[name]
-            self.nodes[name] = replace(old, df=_append(old.df, df))
+            self.nodes[name] = replace(old, df=self._grown(f"node {name}", _append(old.df, df)))
         else:
             self.nodes[name] = NodeTable(df, labels)
 
     def put_edges(self, type: str, df: DataFrame) -> None:
         """Append edges (id, source, target and properties)."""
         name = "+" + type
+        self.touch("edge", df)
         if name in self.edges:
             old = self.edges[name]
-            self.edges[name] = replace(old, df=_append(old.df, df))
+            self.edges[name] = replace(old, df=self._grown(f"edge {name}", _append(old.df, df)))
         else:
             self.edges[name] = EdgeTable(type, df)
 
+    def touch(self, kind: str, ids: DataFrame) -> None:
+        """Note whose ids a write changes; change feeds and views look at these alone."""
+        self.touched.append((kind, ids.select("id")))
+
+    def _grown(self, name: str, df: DataFrame) -> DataFrame:
+        """A table after one more append, written down from time to time so that plans stay short."""
+        self.appended[name] = self.appended.get(name, 0) + 1
+        return materialise(df) if self.appended[name] % APPENDS == 0 else df
+
     def snapshot(self) -> Graph:
         """A copy that later writes do not touch; tables are immutable and shared."""
         out = Graph(self.spark)
         out.nodes, out.edges, out.ordinals = dict(self.nodes), dict(self.edges), dict(self.ordinals)
+        out.touched = list(self.touched)
         out.next_id, out.indexes, out.constraints, out.procedures = dict(self.next_id), set(self.indexes), set(self.constraints), dict(self.procedures)
         return out
 
     def restore(self, other: Graph) -> None:
-        self.nodes, self.edges, self.next_id = dict(other.nodes), dict(other.edges), dict(other.next_id)
+        self.nodes, self.edges, self.next_id, self.touched = dict(other.nodes), dict(other.edges), dict(other.next_id), list(other.touched)
 
     def create_node(self, labels: list[str], properties: dict[str, Any] | None = None) -> int:
         node = self.new_ids("node", 1)
@@ -373,12 +392,15 @@ class Graph:
 
     def change_nodes(self, delta: DataFrame, values: dict[str, Column], replace_all: bool = False) -> None:
         """Set properties on the nodes whose ids ``delta`` holds; values may use its columns."""
+        self.touch("node", delta)
         self.nodes = {n: replace(t, df=_changed(t.df, delta, values, replace_all, {"id", "labels"})) for n, t in self.nodes.items()}
 
     def change_edges(self, delta: DataFrame, values: dict[str, Column], replace_all: bool = False) -> None:
+        self.touch("edge", delta)
         self.edges = {n: replace(e, df=_changed(e.df, delta, values, replace_all, {"id", "source", "target"})) for n, e in self.edges.items()}
 
     def change_labels(self, delta: DataFrame, add: list[str], drop: list[str]) -> None:
+        self.touch("node", delta)
         out = {}
         for n, t in self.nodes.items():
             marked = t.df.withColumn("labels", t.label_column()).join(delta.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left")
@@ -391,16 +413,22 @@ class Graph:
     def drop_nodes(self, ids: DataFrame) -> None:
         """Delete nodes and every edge at them."""
         gone = ids.select(F.col("id").alias("__gone")).distinct()
+        self.touch("node", ids)
+        for e in self.edges.values():
+            for end in ("source", "target"):
+                self.touch("edge", e.df.join(gone, F.col(end) == F.col("__gone"), "left_semi"))
         self.nodes = {n: replace(t, df=t.df.join(gone, F.col("id") == F.col("__gone"), "left_anti")) for n, t in self.nodes.items()}
         for end in ("source", "target"):
             self.edges = {n: replace(e, df=e.df.join(gone, F.col(end) == F.col("__gone"), "left_anti")) for n, e in self.edges.items()}
 
     def drop_edges(self, ids: DataFrame) -> None:
         gone = ids.select(F.col("id").alias("__gone")).distinct()
+        self.touch("edge", ids)
         self.edges = {n: replace(e, df=e.df.join(gone, F.col("id") == F.col("__gone"), "left_anti")) for n, e in self.edges.items()}
 
     def clear(self) -> None:
         """Drop all data; registries of indexes and constraints stay."""
+        self.touched.append(("all", None))
         self.nodes, self.edges, self.next_id = {}, {}, {"node": 1, "edge": 1}
 
     def settle(self) -> Graph:

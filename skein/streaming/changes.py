@@ -11,14 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.sources.graph import Graph
+from skein.sources.storage import materialise
 
 SCHEMA = "txn long, seq long, op string, kind string, id long, old string, new string"
 
 
-def _images(tables: dict, kind: str) -> DataFrame | None:
+def touched(before: Graph, after: Graph, kind: str) -> DataFrame | None:
+    """Distinct ids that writers between two snapshots named; None where they are not known."""
+    tail = after.touched[len(before.touched) :]
+    if len(after.touched) < len(before.touched) or any(k == "all" for k, _ in tail):
+        return None
+    out = after.spark.createDataFrame([], "id long")
+    for k, ids in tail:
+        out = out.unionAll(ids) if k == kind else out
+    return out.distinct()
+
+
+def _images(tables: dict, kind: str, ids: DataFrame | None) -> DataFrame | None:
     out = None
     for t in tables.values():
-        df = t.df
+        df = t.df if ids is None else t.df.join(ids.withColumnRenamed("id", "__touched"), F.col("id") == F.col("__touched"), "left_semi")
         if kind == "node":
             labels, skip = t.label_column(), ("id", "labels")
             head = [F.sort_array(labels).alias("labels")]
@@ -31,13 +43,15 @@ def _images(tables: dict, kind: str) -> DataFrame | None:
 
 
 def changes(before: Graph, after: Graph) -> DataFrame:
-    """(op, kind, id, old, new) of every element that differs."""
+    """(op, kind, id, old, new) of every element that differs, among those that writers touched."""
     spark, out = after.spark, None
     for kind in ("node", "edge"):
         # Tables that both snapshots share are the same object and cannot differ.
         old_tables, new_tables = (before.nodes, after.nodes) if kind == "node" else (before.edges, after.edges)
         same = {n for n in old_tables if n in new_tables and old_tables[n] is new_tables[n]}
-        pick = lambda tables: _images({n: t for n, t in tables.items() if n not in same}, kind)  # noqa: E731, B023
+        ids = touched(before, after, kind)
+        ids = None if ids is None else materialise(ids)
+        pick = lambda tables: _images({n: t for n, t in tables.items() if n not in same}, kind, ids)  # noqa: E731, B023
         empty = spark.createDataFrame([], "id long, image string")
         a, b = pick(old_tables) or empty, pick(new_tables) or empty
         a, b = a.select(F.col("id").alias("a"), F.col("image").alias("old")), b.select(F.col("id").alias("b"), F.col("image").alias("new"))

@@ -323,7 +323,9 @@ def test_views(spark, tmp_path):
     feed = ChangeFeed(g, str(tmp_path / "feed"))
     views = Views(g)
     assert views.create("rowwise", "MATCH (v:V) WHERE v.k > 2 RETURN v.k AS k").mode == "DIFFERENTIAL"
-    assert views.create("grouped", "MATCH (v:V) RETURN v.g AS g, count(*) AS c", reads=("rowwise",)).mode == "FULL"
+    assert views.create("grouped", "MATCH (v:V) RETURN v.g AS g, count(*) AS c", reads=("rowwise",)).mode == "DIFFERENTIAL"
+    assert views.create("sorted", "MATCH (v:V) RETURN v.g AS g ORDER BY g").mode == "FULL"
+    views.drop("sorted")
     views.create("now", "MATCH (v:V) RETURN count(*) AS c", mode="IMMEDIATE")
     for name, mode, code in (("rowwise", "AUTO", "ViewExists"), ("Bad", "AUTO", "InvalidViewName"), ("x", "NOPE", "InvalidRefreshMode")):
         with pytest.raises(ViewError) as e:
