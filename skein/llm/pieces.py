@@ -20,26 +20,26 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import batched, chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import bounded_batches, tidied
+
 MARK = "▁"
 #: Segmentations that are kept from one batch of texts to the next.
-CACHE_STATES = 400_000
+CACHE_STATES = 300_000
 #: Chunks up to the last of these many characters are segmented in lockstep, and kept.
 WIDTHS = (8, 12, 16, 24, 48)
 BATCH_CHARS = 1_500_000
 _NONE = 2**31 - 1
-_WIDTH = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)] + [0]
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -80,8 +80,14 @@ class Codec:
         self.ids = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: -model.get_score(i) for i in plain}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.value = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.pieces[i].replace(MARK, " ").encode() for i in plain}
-        self.mark_bytes = [self.byte[b] for b in MARK.encode()]
+        value = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.pieces[i].replace(MARK, " ").encode() for i in plain}
+        self.value = [value.get(i) for i in range(size)]
+        self.mark_bytes = np.array([self.byte[b] for b in MARK.encode()], np.int32)
+        # The symbol of each character: its piece, or a number beyond all pieces.
+        self.symbol = np.arange(size, size + 0x110000, dtype=np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
         self.limit, self.seed = int(dropout * 2**64), _mixed(seed & _M64)
         # passes[k]: below it, a draw of 64 bits lets the first k steps pass.
         passes = [1 << 64]
@@ -89,8 +95,6 @@ class Codec:
             passes.append(passes[-1] * ((1 << 64) - self.limit) >> 64)
         self.passes = np.array([min(x, _M64) for x in passes], np.uint64)
         self.falling = [-x for x in passes]
-        # A state is a chunk with its drops; kept are its pieces, its number of steps, and by the next drop the state that follows.
-        self.known: list[dict[str, list[int]]] = [{}]
         self._forget()
         # Merges as arrays: sorted keys of (left, right), the merged piece and its rank by score.
         pairs = [(self.ids[p[:k]] * size + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
@@ -110,13 +114,27 @@ class Codec:
             self.slots[at], self.merged[at] = key, i
 
     def _forget(self) -> None:
-        self.known[0].clear()
-        self.roots: dict[str, int] = {}
+        """Start anew with one state, that of a space mark inside a text, which is written as bytes.
+
+        A state is a chunk with its drops.  Kept are its pieces (a range of ``flat``), its number
+        of steps, the symbols of its chunk (a range of ``symbols``), the state that it follows
+        from and by which drop; ``after`` tells the state that follows by the next drop.
+        """
+        self.roots: dict[str, int] = {"": 0}
         self.after: dict[int, int] = {}
-        self.state_chunk: list[str] = []
-        self.state_drops: list[tuple[int, ...]] = []
-        self.state_ids: list[list[int]] = []
-        self.state_steps: list[int] = []
+        self.flat, self.symbols = self.mark_bytes, np.zeros(0, np.int32)
+        self.states = np.array([[0], [len(self.flat)], [0], [0], [0], [-1], [-1]], np.int64)
+
+    def drops_of(self, state: int) -> tuple[int, ...]:
+        out: list[int] = []
+        while self.states[5, state] >= 0:
+            out.append(int(self.states[6, state]))
+            state = int(self.states[5, state])
+        return tuple(reversed(out))
+
+    def ids_of(self, state: int) -> list[int]:
+        at, n = self.states[:2, state].tolist()
+        return self.flat[at : at + n].tolist()
 
     def _merge_all(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair's merge; a rank beyond all others where there is none."""
@@ -133,54 +151,41 @@ class Codec:
         good = found == key
         return np.where(good, self.rank[piece], _NONE).astype(np.int32), piece
 
-    def _lockstep(self, chunks: list[str], drops: list[tuple[int, ...]], width: int) -> tuple[list[list[int]], list[int]]:
-        """Segment many chunks of at most ``width`` characters; also how many candidates came up for each."""
-        n, get, size = len(chunks), self.ids.get, self.size
-        odd: dict[str, int] = {}
-        symbols = np.full((n, width), -1, np.int32)
-        for r, chunk in enumerate(chunks):
-            symbols[r, : len(chunk)] = [i if (i := get(c)) is not None else odd.setdefault(c, size + len(odd)) for c in chunk]
+    def _lockstep(self, symbols: np.ndarray, drop_rows: np.ndarray, drop_steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at the end of each row's agenda (-1 behind the last), and how many candidates came up for it.
+
+        Row ``drop_rows[k]`` drops its candidate number ``drop_steps[k]``.
+        """
+        n, width = symbols.shape
         rank, piece = self._merge_all(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())
         rank, piece = rank.reshape(n, width - 1), piece.reshape(n, width - 1)
-        ended = symbols
+        ended = np.empty_like(symbols)
         live, columns = np.arange(n), np.arange(width)
-        steps, step = np.zeros(n, np.int32), 0
-        # Rows by the step at which they drop a candidate.
-        at_step: dict[int, list[int]] = {}
-        for r, row in enumerate(drops):
-            for k in row:
-                at_step.setdefault(k, []).append(r)
+        steps, step = np.zeros(n, np.int64), 0
+        order = np.argsort(drop_steps, kind="stable")
+        drop_rows, drop_steps = drop_rows[order], drop_steps[order]
         dropping = np.zeros(n, bool)
         while len(live):
             j = rank.argmin(axis=1)  # the leftmost of equals
-            rows = np.arange(len(live))
-            going = rank[rows, j] < _NONE
+            going = rank[np.arange(len(live)), j] < _NONE
             if not going.all():
-                ended[live[~going]] = symbols[~going] if symbols is not ended else ended[live[~going]]
+                ended[live[~going]] = symbols[~going]
                 live, j = live[going], j[going]
                 symbols, rank, piece = symbols[going], rank[going], piece[going]
                 if not len(live):
                     break
-            elif symbols is ended:
-                symbols = symbols.copy()
             steps[live] += 1
             rows = np.arange(len(live))
-            if step in at_step:
-                dropping[at_step[step]] = True
+            now = drop_rows[np.searchsorted(drop_steps, step) : np.searchsorted(drop_steps, step, "right")]
+            if len(now):
+                dropping[now] = True
                 dropped = dropping[live]
-                dropping[at_step[step]] = False
+                dropping[now] = False
                 rank[rows[dropped], j[dropped]] = _NONE
                 rows = rows[~dropped]
             step += 1
             symbols, rank, piece = self._merged(symbols, rank, piece, rows, j[rows], columns, width)
-        names = list(odd)
-        out = []
-        for row in ended.tolist():
-            ids = [i for i in row if i >= 0]
-            if names and max(ids) >= size:
-                ids = [b for i in ids for b in ([i] if i < size else [self.byte[x] for x in names[i - size].encode("utf-8", "surrogatepass")])]
-            out.append(ids)
-        return out, steps.tolist()
+        return ended, steps
 
     def _merged(self, symbols: np.ndarray, rank: np.ndarray, piece: np.ndarray, rows: np.ndarray, j: np.ndarray, columns: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The state after merging the candidate at ``j`` in each of ``rows``."""
@@ -213,7 +218,7 @@ class Codec:
         symbols: list[str | None] = list(chunk)
         score, ids, n = self.score, self.ids, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(score[pair], i, pair) for i in range(n - 1) if (pair := chunk[i : i + 2]) in score]
+        agenda = [(score[pair], i, pair) for i in range(n - 1) if (pair := chunk[i : i + 2]) in score and chunk[i] in score and chunk[i + 1] in score]
         heapify(agenda)
         while agenda:
             _, i, pair = heappop(agenda)
@@ -242,24 +247,59 @@ class Codec:
                 out += [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def _learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> range:
-        """Make states of chunks, none too long, with their drops; gives their numbers."""
-        first = len(self.state_ids)
-        by_width: dict[int, list[int]] = {}
-        for k, (chunk, _) in enumerate(wanted):
-            by_width.setdefault(_WIDTH[len(chunk)], []).append(k)
-        found: list[list[int]] = [[]] * len(wanted)
-        steps = [0] * len(wanted)
-        for width, places in by_width.items():
-            for part in batched(places, 50_000):
-                done = self._lockstep([wanted[k][0] for k in part], [wanted[k][1] for k in part], width)
-                for k, ids, n in zip(part, *done, strict=True):
-                    found[k], steps[k] = ids, n
-        self.state_chunk += [w[0] for w in wanted]
-        self.state_drops += [w[1] for w in wanted]
-        self.state_ids += found
-        self.state_steps += steps
-        return range(first, len(self.state_ids))
+    def _bytes_for_odd(self, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that are no piece written as the bytes of their characters; ``sizes`` are symbols of each state."""
+        odd = np.flatnonzero(found >= self.size)
+        if not len(odd):
+            return found, sizes
+        written = {c: [self.byte[b] for b in chr(c - self.size).encode("utf-8", "surrogatepass")] for c in set(found[odd].tolist())}
+        times = np.ones(len(found), np.int64)
+        times[odd] = [len(written[c]) for c in found[odd].tolist()]
+        out = np.repeat(found, times)
+        start = (np.cumsum(times) - times)[odd].tolist()
+        for at, c in zip(start, found[odd].tolist(), strict=True):
+            out[at : at + len(written[c])] = written[c]
+        total = np.concatenate([[0], np.cumsum(times)])
+        ends = np.cumsum(sizes)
+        return out, total[ends] - total[ends - sizes]
+
+    def _learn(self, at: np.ndarray, sizes: np.ndarray, before: np.ndarray, drops: np.ndarray) -> range:
+        """Make states of chunks (ranges of ``symbols``, none too long) that follow from the states ``before`` by ``drops``."""
+        n, first = len(at), self.states.shape[1]
+        if not n:
+            return range(first, first)
+        rows, row, past, drop = [np.zeros(0, np.int64)], np.arange(n), before, drops
+        steps = [np.zeros(0, np.int64)]
+        while len(row := row[past >= 0]):
+            past, drop = past[past >= 0], drop[past >= 0]
+            rows.append(row)
+            steps.append(drop)
+            past, drop = self.states[5, past], self.states[6, past]
+        dropping, dropped = np.concatenate(rows), np.concatenate(steps)
+        tables, flats, start = np.empty((7, n), np.int64), [], len(self.flat)
+        group = np.searchsorted(WIDTHS, sizes)
+        for g in np.unique(group).tolist():
+            members = np.flatnonzero(group == g)
+            place = np.full(n, -1)
+            for part in np.array_split(members, -(-len(members) // 50_000)):
+                own = sizes[part]
+                symbols = np.full((len(part), WIDTHS[g]), -1, np.int32)
+                column = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+                line = np.repeat(np.arange(len(part)), own)
+                symbols[line, column] = self.symbols[np.repeat(at[part], own) + column]
+                place[part] = np.arange(len(part))
+                mine = place[dropping] >= 0
+                ended, took = self._lockstep(symbols, place[dropping[mine]], dropped[mine])
+                place[part] = -1
+                full = ended >= 0
+                flat, count_ = self._bytes_for_odd(ended[full], full.sum(axis=1))
+                tables[:3, part] = start + np.cumsum(count_) - count_, count_, took
+                start += len(flat)
+                flats.append(flat)
+        tables[3:] = at, sizes, before, drops
+        self.flat = np.concatenate([self.flat, *flats])
+        self.states = np.concatenate([self.states, tables], axis=1)
+        return range(first, first + n)
 
     def _draws(self, base: int, most: int) -> Iterator[int]:
         """The steps, up to ``most``, at which candidates of an occurrence are dropped."""
@@ -273,84 +313,82 @@ class Codec:
             if passed < RUN:
                 yield step
 
-    def _drawn(self, chunks: list[str], base: np.ndarray) -> list[list[int]]:
-        """The pieces of each occurrence of a chunk; ``base`` seeds its draws."""
-        known, roots, state_ids, state_drops = self.known[0], self.roots, self.state_ids, self.state_drops
-        long = [i for i, chunk in enumerate(chunks) if len(chunk) > WIDTHS[-1]]
+    def _drawn(self, chunks: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all occurrences of chunks in a row, and how many each has; ``base`` seeds their draws."""
+        roots = self.roots
         new = [c for c in dict.fromkeys(chunks) if c not in roots and len(c) <= WIDTHS[-1]]
-        for chunk, state in zip(new, self._learn([(c, ()) for c in new]), strict=True):
-            roots[chunk], known[chunk] = state, state_ids[state]
+        if new:
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            at = len(self.symbols) + np.cumsum(sizes) - sizes
+            self.symbols = np.concatenate([self.symbols, self.symbol[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)]])
+            none = np.full(len(new), -1)
+            roots.update(zip(new, self._learn(at, sizes, none, none), strict=True))
+        states = np.fromiter((roots.get(c, -1) for c in chunks), np.int64, len(chunks))
+        long = np.flatnonzero(states < 0).tolist()
+        if self.limit:
+            # From round to round only those stay that drop one more candidate. ``done`` is the first step not yet drawn for.
+            at = np.flatnonzero(states >= 0)
+            done, r, follow = np.zeros(len(at), np.int64), 0, self.after
+            while len(at):
+                r += 1
+                left = self.states[2, states[at]] - done
+                u = np.minimum(_mixed_all(base[at] + np.uint64(r * _STEP & _M64)), np.uint64(_M64 - 1))
+                hit = (left > 0) & (u >= self.passes[np.minimum(np.maximum(left, 0), RUN)])
+                at, done, u = at[hit], done[hit], u[hit]
+                if not len(at):
+                    break
+                drop = done + len(self.passes) - 1 - np.searchsorted(self.passes[::-1], u, "right")
+                pairs, where = np.unique(states[at] << 12 | drop, return_inverse=True)
+                after = np.fromiter((follow.get(p, -1) for p in pairs.tolist()), np.int64, len(pairs))
+                fresh = np.flatnonzero(after < 0)
+                before = pairs[fresh] >> 12
+                made = self._learn(self.states[3, before], self.states[4, before], before, pairs[fresh] & 0xFFF)
+                after[fresh] = made
+                follow.update(zip(pairs[fresh].tolist(), made, strict=True))
+                states[at] = after[where]
+                done = drop + 1
+        starts, sizes, flat = self.states[0, states], self.states[1, states], self.flat
         if long:
-            if not self.limit:
-                cold = {c: self._heap(c) for c in {chunks[i] for i in long}}
-                return [cold[c] if len(c) > WIDTHS[-1] else known[c] for c in chunks]
-            at = np.array([i for i, chunk in enumerate(chunks) if len(chunk) <= WIDTHS[-1]], np.int64)
-        elif not self.limit:
-            return [known[c] for c in chunks]
-        else:
-            at = np.arange(len(chunks))
-        states = np.full(len(chunks), -1, np.int64)
-        states[at] = [roots[chunks[i]] for i in at.tolist()] if long else [roots[c] for c in chunks]
-        # From round to round only those stay that drop one more candidate. ``done`` is the first step not yet drawn for.
-        done, r = np.zeros(len(at), np.int64), 0
-        while len(at):
-            r += 1
-            left = np.array(self.state_steps, np.int64)[states[at]] - done
-            u = _mixed_all(base[at] + np.uint64(r * _STEP & _M64))
-            u = np.minimum(u, np.uint64(_M64 - 1))
-            hit = (left > 0) & (u >= self.passes[np.minimum(np.maximum(left, 0), RUN)])
-            at, done, u = at[hit], done[hit], u[hit]
-            if not len(at):
-                break
-            drop = done + len(self.passes) - 1 - np.searchsorted(self.passes[::-1], u, "right")
-            pairs, where = np.unique(states[at] << 12 | drop, return_inverse=True)
-            follow = self.after
-            missing = [p for p in pairs.tolist() if p not in follow]
-            follow.update(zip(missing, self._learn([(self.state_chunk[p >> 12], (*state_drops[p >> 12], p & 0xFFF)) for p in missing]), strict=True))
-            states[at] = np.array([follow[p] for p in pairs.tolist()], np.int64)[where]
-            done = drop + 1
-        out = [state_ids[s] if s >= 0 else [] for s in states.tolist()]
-        for i in long:
-            out[i] = self._heap(chunks[i], self._draws(int(base[i]), 3 * len(chunks[i])))
-        return out
-
-    def encode_all(self, texts: list[str], keys: list[int]) -> list[list[int]]:
+            cold: dict[str, list[int]] = {}
+            found = []
+            for i in long:
+                if self.limit:
+                    found.append(self._heap(chunks[i], self._draws(int(base[i]), 3 * len(chunks[i]))))
+                else:
+                    found.append(cold.get(chunks[i]) or cold.setdefault(chunks[i], self._heap(chunks[i])))
+            sizes[long] = own = np.array([len(x) for x in found], np.int64)
+            starts[long] = len(flat) + np.cumsum(own) - own
+            flat = np.concatenate([flat, *(np.array(x, np.int32) for x in found)])
+        return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def encode_arrays(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Token ids of each text; what is dropped follows from its key and the place."""
-        if len(self.state_ids) > CACHE_STATES:
+        if self.states.shape[1] > CACHE_STATES:
             self._forget()
         chunks: list[str] = []
-        ends: list[list[int]] = []
+        ends = []
         for text in texts:
-            ends.append([])
             for k, part in enumerate(text.split(MARK) if text else []):
+                if k:
+                    chunks.append("")  # a mark in the text itself
                 chunks += _CHUNK.findall((MARK if not k else "") + part.replace(" ", MARK))
-                ends[-1].append(len(chunks))
-        sizes, at = [], 0
-        for own in ends:
-            sizes.append((own[-1] if own else at) - at)
-            at += sizes[-1]
-        place = np.arange(len(chunks)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+            ends.append(len(chunks))
+        own = np.diff(np.array([0, *ends], np.int64))
+        place = np.arange(len(chunks)) - np.repeat(np.cumsum(own) - own, own)
         key = _mixed_all(np.array([(k + 1) * _STEP & _M64 for k in keys], np.uint64) + np.uint64(self.seed))
-        base = _mixed_all(np.repeat(key, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP))
-        found = self._drawn(chunks, base)
-        out: list[list[int]] = []
-        at = 0
-        for own in ends:
-            ids: list[int] = []
-            for k, end in enumerate(own):
-                if k:
-                    ids += self.mark_bytes
-                ids.extend(chain.from_iterable(found[at:end]))
-                at = end
-            out.append(ids)
-        return out
+        base = _mixed_all(np.repeat(key, own) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP))
+        found, sizes = self._drawn(chunks, base)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        return np.split(found, cuts)[: len(texts)]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[list[int]]:
+        return [x.tolist() for x in self.encode_arrays(texts, keys)]
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return self.encode_all([text], [key])[0]
 
     def decode(self, ids: list[int]) -> str:
-        value = self.value
-        raw = b"".join([value[i] for i in ids])
+        raw = b"".join(map(self.value.__getitem__, ids))
         return raw[1:].decode("utf-8", "surrogatepass")  # without the mark put in front
 
 
@@ -383,12 +421,12 @@ def encode_texts(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
             counts, digests, fine, all_ids = [], [], [], []
             texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
             for a, b in _slices(texts):
-                for text, ids in zip(texts[a:b], coder.encode_all(texts[a:b], keys[a:b]), strict=True):
+                for text, ids in zip(texts[a:b], coder.encode_arrays(texts[a:b], keys[a:b]), strict=True):
                     counts.append(len(ids))
-                    digests.append(hashlib.sha256(array("i", ids).tobytes()).hexdigest())
-                    fine.append(coder.decode(ids) == text)
+                    digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    fine.append(coder.decode(ids.tolist()) == text)
                     if with_ids:
-                        all_ids.append(np.array(ids, np.int32))
+                        all_ids.append(ids)
             columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(fine, pa.bool_())]
             names = ["id", "n_tokens", "ids_sha256", "lossless"]
             if with_ids:
@@ -396,9 +434,10 @@ def encode_texts(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key")).mapInArrow(
-        run, f"id {id_type}, n_tokens long, ids_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
+        tidied(run), f"id {id_type}, n_tokens long, ids_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
     )
     return found.withColumnRenamed("id", id_col)
 
