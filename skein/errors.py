@@ -1,14 +1,25 @@
-"""Errors of the engine, each with a stable code."""
+"""Errors of the engine, each with a stable code and number.
+
+Numbers: 100 elements of a graph, 200 its catalog, 300 queries, 600 views, 900 anything else.
+"""
 
 from __future__ import annotations
 
+#: Numbers of codes that have one of their own; other codes have that of their kind.
+NUMBERS = {
+    "EntityNotFound": 100, "UnknownLabel": 200, "PathTooLong": 320, "InvalidViewName": 601, "UnsupportedClause": 601, "UnsupportedForDifferential": 601, "ConstraintNeedsImmediate": 601,
+    "ViewExists": 602, "ViewNotFound": 603, "InvalidRefreshMode": 604, "ViewInUse": 606, "ConstraintViolated": 607,
+}
+
 
 class GraphError(Exception):
     """Base of all errors; ``code`` names the rule that was broken."""
 
     kind = "Error"
+    family = 300
 
     def __init__(self, code: str, message: str = "") -> None:
+        self.number = NUMBERS.get(code, self.family)
         super().__init__(f"{self.kind}.{code}" + (f": {message}" if message else ""))
         self.code = code
 
@@ -35,6 +46,7 @@ class ProcedureError(GraphError):
 
 class ConstraintError(GraphError):
     kind = "ConstraintViolation"
+    family = 200
 
 
 class ParameterMissing(GraphError):
@@ -43,3 +55,4 @@ class ParameterMissing(GraphError):
 
 class ViewError(GraphError):
     kind = "ViewError"
+    family = 601

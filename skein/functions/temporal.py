@@ -1,7 +1,8 @@
 """Dates, times and durations.
 
 Dates are DATE, local date-times TIMESTAMP without zone, date-times TIMESTAMP (an instant, shown
-in UTC), times a count of nanoseconds with or without an offset, durations a struct of months,
+in UTC) or, where an offset or a zone was given, a struct of the instant, its offset in seconds and
+the zone's name, times a count of nanoseconds with or without an offset, durations a struct of months,
 days, seconds and nanoseconds.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skein.errors import ArgumentError, QueryTypeError
 from skein.functions.typed import (
-    DATE, DURATION, INSTANT, LOCAL, LOCALTIME, LONG, STRING, TIME, Typed, fields, is_duration, is_map, is_null, is_string, is_temporal, is_time, null,
+    DATE, DURATION, INSTANT, LOCAL, LOCALTIME, LONG, STRING, TIME, ZONED, Typed, fields, is_duration, is_map, is_null, is_string, is_temporal, is_time, is_zoned, null,
 )
 
 KINDS = {"date": DATE, "localdatetime": LOCAL, "datetime": INSTANT, "localtime": LOCALTIME, "time": TIME}
@@ -101,7 +102,11 @@ def from_text(kind: str, text: str) -> Typed:
             return Typed(F.lit(moment).cast(LOCAL), LOCAL)
         moment = moment.replace(tzinfo=ZoneInfo(zone)) if zone and offset is None else moment.replace(tzinfo=dt.timezone(dt.timedelta(seconds=offset or 0)))
         utc = moment.astimezone(dt.UTC)
-        return Typed(F.to_utc_timestamp(F.lit(utc.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz"), "UTC").cast(INSTANT), INSTANT)
+        at = F.to_utc_timestamp(F.lit(utc.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz"), "UTC").cast(INSTANT)
+        shift = int(moment.utcoffset().total_seconds())
+        if not shift and not zone:
+            return Typed(at, INSTANT)
+        return Typed(F.struct(at.alias("at"), F.lit(shift).cast("long").alias("offset_s"), F.lit(zone).cast("string").alias("zone")), ZONED)
     except ValueError as e:
         raise ArgumentError(f"Invalid{kind.capitalize()}", f"{text}: {e}") from None
 
@@ -115,6 +120,30 @@ def _time(ns: Column, offset: Column | None) -> Typed:
 # --- columns
 
 
+def local_of(x: Typed) -> Typed:
+    """What the clock of a zoned date-time's place shows."""
+    return Typed(F.timestamp_micros(F.unix_micros(x.col["at"]) + x.col["offset_s"] * 10**6).cast(LOCAL), LOCAL)
+
+
+def zoned(local: Column, offset: Column, zone: Column) -> Typed:
+    """The date-time that a clock shows in a zone, or at an offset where the zone has no name."""
+    wall = F.unix_micros(local.cast("timestamp"))
+    named = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone))
+    at = F.when(zone.isNotNull(), named).otherwise(wall - offset * 10**6)
+    made = F.struct(F.timestamp_micros(at).alias("at"), ((wall - at) / 10**6).cast("long").alias("offset_s"), zone.cast("string").alias("zone"))
+    return Typed(F.when(at.isNotNull(), made), ZONED)
+
+
+def _again(x: Typed, local: Column) -> Typed:
+    """Another clock time in the zone of ``x``."""
+    return zoned(local, x.col["offset_s"], x.col["zone"])
+
+
+def _zone_name(text: Column) -> Column:
+    name = F.regexp_extract(text, r"\[([^\]]+)\]$", 1)
+    return F.when(name != "", name)
+
+
 def _micros(x: Typed) -> Column:
     return F.unix_micros(x.col.cast("timestamp"))
 
@@ -154,7 +183,17 @@ def convert(kind: str, x: Typed) -> Typed:
         micros = F.unix_micros(_text_date(x.col).cast("timestamp")) + (_clock(clock) / 1000).cast("long")
         if kind == "localdatetime":
             return Typed(F.timestamp_micros(micros).cast(LOCAL), LOCAL)
-        return Typed(F.timestamp_micros(micros - _text_offset(clock) * 10**6), INSTANT)
+        local = F.timestamp_micros(micros)
+        plain = clock.rlike(r"(?:Z|[+-]\d{2}(?::?\d{2})?)(?:\[[^\]]*\])?$")
+        made = zoned(local, _text_offset(clock), F.when(~plain, _zone_name(clock)))
+        # An offset that is written counts; the zone's name is kept beside it.
+        name = _zone_name(clock)
+        return Typed(F.when(made.col.isNotNull(), F.struct(made.col["at"].alias("at"), made.col["offset_s"].alias("offset_s"), name.alias("zone"))), ZONED)
+    if is_zoned(x.type):
+        if kind == "datetime":
+            return x
+        local = local_of(x)
+        return convert("time", Typed(_time(convert("localtime", local).col["time_ns"], x.col["offset_s"]).col, TIME)) if kind == "time" else convert(kind, local)
     if not is_temporal(x.type):
         raise QueryTypeError("InvalidArgumentType", f"{kind}() of {x.type.simpleString()}")
     if kind in ("time", "localtime"):
@@ -240,6 +279,7 @@ def from_map(kind: str, m: Typed) -> Typed:
     elif clock is not None:
         ns = ns + component(clock, "nanosecond").col
     zone = have.get("timezone")
+    kept = next((have[k] for k in ("datetime", "time", "date") if k in have and (is_zoned(have[k].type) or have[k].type == TIME)), None) if zone is None else None
     offset = _text_offset(zone.col) if zone is not None else F.lit(0).cast("long")
     if kind in ("time", "localtime"):
         return _time(ns, offset if kind == "time" else None)
@@ -247,8 +287,11 @@ def from_map(kind: str, m: Typed) -> Typed:
     if kind == "localdatetime":
         return Typed(F.timestamp_micros(micros).cast(LOCAL), LOCAL)
     if zone is not None:
-        named = F.to_utc_timestamp(F.timestamp_micros(micros), zone.col)
-        return Typed(F.when(zone.col.rlike(r"^(?:[+-]|Z$)"), F.timestamp_micros(micros - offset * 10**6)).otherwise(named), INSTANT)
+        return zoned(F.timestamp_micros(micros), offset, F.when(~zone.col.rlike(r"^(?:[+-]|Z$)"), zone.col))
+    if kept is not None and is_zoned(kept.type):
+        return _again(kept, F.timestamp_micros(micros))
+    if kept is not None:
+        return zoned(F.timestamp_micros(micros), kept.col["offset_s"], F.lit(None).cast("string"))
     return Typed(F.timestamp_micros(micros), INSTANT)
 
 
@@ -279,6 +322,13 @@ def component(x: Typed, name: str) -> Typed:
         if x.type == TIME and name in ("offsetSeconds", "offsetMinutes"):
             return Typed(c["offset_s"] if name == "offsetSeconds" else (c["offset_s"] / 60).cast("long"), LONG)
         raise QueryTypeError("InvalidArgumentValue", f"no component {name}")
+    if is_zoned(x.type):
+        if name in ("offsetSeconds", "offsetMinutes"):
+            return Typed(c["offset_s"] if name == "offsetSeconds" else (c["offset_s"] / 60).cast("long"), LONG)
+        if name in ("timezone", "offset"):
+            written = _offset_text(c["offset_s"])
+            return Typed(F.coalesce(c["zone"], written) if name == "timezone" else written, STRING)
+        return component(x.get("at") if name.startswith("epoch") else local_of(x), name)
     if name in _PARTS and (x.type != DATE or name not in ("hour", "minute")):
         return Typed(F.extract(F.lit(_PARTS[name]), c).cast("long"), LONG)
     if name == "dayOfWeek":
@@ -323,6 +373,10 @@ def truncate(kind: str, unit: str, x: Typed, overrides: Typed | None) -> Typed:
         size = size * 10**9 if size else {"millisecond": 10**6, "microsecond": 10**3}[unit]
         ns = x.col["time_ns"] - F.pmod(x.col["time_ns"], F.lit(size))
         return _overridden(kind, convert(kind, _time(ns, x.col["offset_s"] if x.type == TIME else None)), overrides)
+    if is_zoned(x.type):
+        local = truncate("localdatetime", unit, local_of(x), None)
+        whole = _again(x, local.col)
+        return _overridden(kind, whole if kind == "datetime" else convert(kind, whole), overrides)
     moment = x.col.cast("timestamp")
     if unit in ("hour", "minute", "second", "millisecond", "microsecond"):
         out = F.date_trunc(unit, moment)
@@ -360,7 +414,7 @@ def between(a: Typed, b: Typed, unit: str = "between") -> Typed:
         ns = lambda x: x.col["time_ns"] - (x.col["offset_s"] * 10**9 if x.type == TIME else 0) if is_time(x.type) else convert("localtime", x).col["time_ns"]
         gap = ns(b) - ns(a)
         return Typed(F.struct(zero.alias("months"), zero.alias("days"), (zero if unit in ("inMonths", "inDays") else (gap / 10**9).cast("long")).alias("seconds"), (zero if unit in ("inMonths", "inDays") else gap % 10**9).alias("nanos")), DURATION)
-    x, y = a.col.cast("timestamp"), b.col.cast("timestamp")
+    x, y = (v.col["at"] if is_zoned(v.type) else v.col.cast("timestamp") for v in (a, b))
     micros = F.unix_micros(y) - F.unix_micros(x)
     rest = lambda m, months, days: F.struct(months.alias("months"), days.alias("days"), (m / 10**6).cast("long").alias("seconds"), ((m % 10**6) * 1000).cast("long").alias("nanos"))
     if unit == "inSeconds":
@@ -390,6 +444,13 @@ def plus(x: Typed, d: Typed, sign: int = 1) -> Typed:
     if is_time(x.type):
         ns = F.pmod(x.col["time_ns"] + nanos, F.lit(86400 * 10**9))
         return _time(ns, x.col["offset_s"] if x.type == TIME else None)
+    if is_zoned(x.type):
+        # Months and days go by the clock, the rest by the time that passes.
+        zero = F.lit(0).cast("long")
+        by_clock = _again(x, plus(local_of(x), Typed(F.struct(d.col["months"].alias("months"), d.col["days"].alias("days"), zero.alias("seconds"), zero.alias("nanos")), DURATION), sign).col)
+        at = F.timestamp_micros(F.unix_micros(by_clock.col["at"]) + (nanos / 1000).cast("long"))
+        there = F.when(x.col["zone"].isNotNull(), (F.unix_micros(F.from_utc_timestamp(at, x.col["zone"])) - F.unix_micros(at)) / 10**6).otherwise(x.col["offset_s"])
+        return Typed(F.when(at.isNotNull(), F.struct(at.alias("at"), there.cast("long").alias("offset_s"), x.col["zone"].alias("zone"))), ZONED)
     if x.type == DATE:
         day = F.date_add(F.add_months(x.col, months.cast("int")), (days + (nanos / (86400 * 10**9)).cast("long")).cast("int"))
         return Typed(day, DATE)
@@ -407,6 +468,11 @@ def duration_times(a: Typed, factor: Column) -> Typed:
     return Typed(_normal(a.col["months"] * f, a.col["days"] * f, a.col["seconds"] * f, a.col["nanos"] * f), DURATION)
 
 
+def _offset_text(off: Column) -> Column:
+    two = lambda v: F.lpad(F.floor(v).cast("string"), 2, "0")
+    return F.when(off == 0, "Z").otherwise(F.concat(F.when(off < 0, "-").otherwise("+"), two(F.abs(off) / 3600), F.lit(":"), two(F.abs(off) % 3600 / 60)))
+
+
 def text_of(x: Typed) -> Column:
     """ISO text."""
     c = x.col
@@ -430,8 +496,9 @@ def text_of(x: Typed) -> Column:
         out = F.concat(two(ns / (3600 * 10**9)), F.lit(":"), two(F.floor(ns / (60 * 10**9)) % 60), F.when((sec != 0) | (sub != 0), F.concat(F.lit(":"), two(sec))).otherwise(""), F.when(sub != 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(sub.cast("string"), 9, "0"), "0+$", ""))).otherwise(""))
         if x.type == LOCALTIME:
             return out
-        off = c["offset_s"]
-        return F.concat(out, F.when(off == 0, "Z").otherwise(F.concat(F.when(off < 0, "-").otherwise("+"), two(F.abs(off) / 3600), F.lit(":"), two(F.abs(off) % 3600 / 60))))
+        return F.concat(out, _offset_text(c["offset_s"]))
+    if is_zoned(x.type):
+        return F.concat(text_of(local_of(x)), _offset_text(c["offset_s"]), F.coalesce(F.concat(F.lit("["), c["zone"], F.lit("]")), F.lit("")))
     moment = c.cast("timestamp")
     micros = F.pmod(F.unix_micros(moment), F.lit(60 * 10**6))
     sub = F.regexp_replace(F.date_format(moment, "SSSSSS"), "0+$", "")

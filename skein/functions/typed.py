@@ -17,7 +17,9 @@ DATE, LOCAL, INSTANT = T.DateType(), T.TimestampNTZType(), T.TimestampType()
 DURATION = T.StructType([T.StructField(n, LONG) for n in ("months", "days", "seconds", "nanos")])
 LOCALTIME = T.StructType([T.StructField("time_ns", LONG)])
 TIME = T.StructType([T.StructField("time_ns", LONG), T.StructField("offset_s", LONG)])
-TEMPORAL = (DATE, LOCAL, INSTANT, LOCALTIME, TIME)
+#: An instant with the offset it is told in, and its zone's name where it has one.
+ZONED = T.StructType([T.StructField("at", INSTANT), T.StructField("offset_s", LONG), T.StructField("zone", STRING)])
+TEMPORAL = (DATE, LOCAL, INSTANT, ZONED, LOCALTIME, TIME)
 
 
 @dataclass
@@ -57,8 +59,12 @@ def is_time(t: T.DataType) -> bool:
     return fields(t) in (fields(LOCALTIME), fields(TIME))
 
 
+def is_zoned(t: T.DataType) -> bool:
+    return fields(t) == fields(ZONED)
+
+
 def is_map(t: T.DataType) -> bool:
-    return isinstance(t, T.StructType) and not (is_entity(t) or is_path(t) or is_duration(t) or is_time(t))
+    return isinstance(t, T.StructType) and not (is_entity(t) or is_zoned(t) or is_path(t) or is_duration(t) or is_time(t))
 
 
 def is_list(t: T.DataType) -> bool:
@@ -90,7 +96,7 @@ def is_bool(t: T.DataType) -> bool:
 
 
 def is_temporal(t: T.DataType) -> bool:
-    return t in TEMPORAL
+    return t in TEMPORAL or is_zoned(t)
 
 
 def family(t: T.DataType) -> str:
@@ -114,6 +120,8 @@ def common(a: T.DataType, b: T.DataType) -> T.DataType | None:
         return a
     if is_null(a):
         return b
+    if {a.typeName() if not is_zoned(a) else "zoned", b.typeName() if not is_zoned(b) else "zoned"} <= {"timestamp", "zoned"}:
+        return ZONED
     if is_num(a) and is_num(b):
         return LONG if is_int(a) and is_int(b) else DOUBLE
     if is_list(a) and is_list(b):
@@ -150,6 +158,8 @@ def fit(x: Typed, t: T.DataType) -> Column:
         return x.col
     if is_null(x.type):
         return F.lit(None).cast(t)
+    if is_zoned(t) and x.type == INSTANT:
+        return F.when(x.col.isNotNull(), F.struct(x.col.alias("at"), F.lit(0).cast("long").alias("offset_s"), F.lit(None).cast("string").alias("zone")))
     if isinstance(t, T.StructType) and isinstance(x.type, T.StructType):
         have = fields(x.type)
         made = F.struct(*(fit(x.get(f.name), f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in t.fields))
@@ -236,11 +246,18 @@ def equal(a: Typed, b: Typed) -> Column:
             x, y = a.get(name), b.get(name)
             out = out & (F.lit(True) if is_null(x.type) and is_null(y.type) else F.when(x.col.isNull() & y.col.isNull(), F.lit(None).cast("boolean")).otherwise(equal(x, y)))
         return F.when(a.col.isNotNull() & b.col.isNotNull(), out)
+    if is_zoned(a.type) or is_zoned(b.type):
+        return a.col["at"] == b.col["at"] if is_zoned(a.type) and is_zoned(b.type) else equal(instant(a), instant(b))
     if a.type == b.type:
         return a.col == b.col
     return F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(False))
 
 
+def instant(x: Typed) -> Typed:
+    """A zoned date-time as its instant; other values as they are."""
+    return x.get("at") if is_zoned(x.type) else x
+
+
 def less(a: Typed, b: Typed, or_equal: bool) -> Column:
     """Three-valued ordering; null for values that have none."""
     none = F.lit(None).cast("boolean")
@@ -251,6 +268,8 @@ def less(a: Typed, b: Typed, or_equal: bool) -> Column:
     if is_list(a.type) and is_list(b.type) and is_num(a.type.elementType) and is_num(b.type.elementType):
         x, y = a.col.cast("array<double>"), b.col.cast("array<double>")
         return x <= y if or_equal else x < y
+    if is_zoned(a.type) or is_zoned(b.type):
+        return less(instant(a), instant(b), or_equal)
     if is_duration(a.type) and is_duration(b.type):
         x, y = duration_seconds(a.col), duration_seconds(b.col)
         return x <= y if or_equal else x < y
@@ -272,6 +291,8 @@ def order_key(x: Typed) -> Column:
         return F.size(x.col["rels"])
     if is_duration(x.type):
         return duration_seconds(x.col)
+    if is_zoned(x.type):
+        return x.col["at"]
     if is_null(x.type):
         return F.lit(None).cast("string")
     if is_list(x.type) and is_entity(x.type.elementType):
@@ -294,7 +315,12 @@ def truth(x: Typed, what: str = "a predicate") -> Column:
 
 def float_text(x: Column) -> Column:
     """A float as text: plain digits, and always with a decimal point."""
+    text = x.cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?)(\d+)$", k)
+    digits = F.when(part(3) == "0", "").otherwise(part(3))
+    large = F.concat(part(1), part(2), F.rpad(digits, part(5).try_cast("int"), "0"), F.lit(".0"))
+    small = F.concat(part(1), F.lit("0."), F.repeat(F.lit("0"), part(5).try_cast("int") - 1), part(2), digits)
     plain = x.cast("decimal(38,17)").cast("string")
     trimmed = F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", ".0")
     wide = F.abs(x)
-    return F.when(F.isnan(x), "NaN").when(x.cast("string").contains("E") & (wide < 1e20) & (wide > 1e-15), trimmed).otherwise(x.cast("string"))
+    return F.when(F.isnan(x), "NaN").when(x.cast("string").contains("E") & (wide < 1e20) & (wide > 1e-15), trimmed).when(part(4) == "-", small).when(part(5) != "", large).otherwise(text)

@@ -811,13 +811,24 @@ class Compiler:
         return State(df, state.scope | new)
 
     def procedure(self, state: State, c: A.CallProc, alone: bool) -> State:
-        from skein.operators.procedures import call
+        from skein.operators.procedures import ECHOES, call
 
         outer = self.exprs(state)
         args = [outer(a) for a in c.args] if c.args is not None else None
         for a in c.args or []:
             if any(is_aggregate(x) for x in A.walk(a)):
                 raise QuerySyntaxError("InvalidAggregation", "an aggregate as an argument")
+        if c.name in ECHOES and c.name not in (self.params.get("__procedures") or {}):
+            if not args:
+                raise ProcedureError("MissingParameter", f"{c.name} needs an argument")
+            out = state
+            for name, alias in c.yields if c.yields is not None else [(ECHOES[c.name], ECHOES[c.name])] if c.star or alone else []:
+                if name != ECHOES[c.name]:
+                    raise ProcedureError("ProcedureNotFound", f"{c.name} yields no {name}")
+                if alias in out.scope:
+                    raise QuerySyntaxError("VariableAlreadyBound", alias)
+                out = self.add(out, alias, args[0])
+            return self.where(out, c.where) if c.where is not None else out
         table, renamed, join = call(self.graph, c.name, args, self.params)
         yields = c.yields if c.yields is not None else [(n, n) for n in renamed] if c.star or alone else []
         df = self.rows(state)
@@ -880,6 +891,11 @@ def aggregate_column(c: A.Call, args: list[Typed], e: Exprs) -> tuple[Column, T.
     if name in ("min", "max"):
         f = F.min if name == "min" else F.max
         return f(x.col), x.type
+    share = None
+    if name.startswith("percentile"):
+        share = c.args[1].value if isinstance(c.args[1], A.Lit) else e.params.get(getattr(c.args[1], "name", ""))
+        if not isinstance(share, (int, float)) or not 0 <= share <= 1:
+            raise ArgumentError("NumberOutOfRange", f"{name}() takes a share between 0 and 1")
     if is_null(x.type):
         none = F.max(F.lit(None).cast("double"))
         return (F.coalesce(F.max(F.lit(None).cast("long")), F.lit(0).cast("long")), LONG) if name == "sum" else (F.coalesce(none, F.lit(0.0)) if name.startswith("stdev") else none, DOUBLE)
@@ -900,9 +916,6 @@ def aggregate_column(c: A.Call, args: list[Typed], e: Exprs) -> tuple[Column, T.
             square = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
             return F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(square / (n - (1 if name == "stdev" else 0)))), DOUBLE
         return F.coalesce(f(col), F.lit(0.0)), DOUBLE
-    share = c.args[1].value if isinstance(c.args[1], A.Lit) else e.params.get(getattr(c.args[1], "name", ""))
-    if not isinstance(share, (int, float)) or not 0 <= share <= 1:
-        raise ArgumentError("NumberOutOfRange", f"{name}() takes a share between 0 and 1")
     if name == "percentilecont":
         return F.percentile(col.cast("double"), F.lit(float(share))), DOUBLE
     ordered = F.sort_array(F.collect_list(col.cast("double")))

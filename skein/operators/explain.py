@@ -1,4 +1,4 @@
-"""The plan of a query as text: its clauses, then Spark's own plan."""
+"""The plan of a query as text: its clauses, Spark's estimate of the result, and Spark's own plan with estimates."""
 
 from __future__ import annotations
 
@@ -44,8 +44,11 @@ def explain(graph, text: str, params: dict[str, Any], analyze: bool = False) ->
     target = graph if analyze else graph.snapshot()
     df = run(target, text, params)
     lines = _tree(query) + [f"Planning: {(time.perf_counter() - started) * 1000:.1f} ms"]
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    rows = stats.rowCount()
+    lines.append(f"Estimate: {rows.get() if rows.isDefined() else 'unknown'} rows, {stats.sizeInBytes()} bytes")
     if analyze:
         started = time.perf_counter()
         lines.append(f"Rows: {df.count()} in {(time.perf_counter() - started) * 1000:.1f} ms")
-    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost"))
     return "\n".join([*lines, plan])

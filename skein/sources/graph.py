@@ -244,6 +244,32 @@ class Graph:
     def all_nodes(self, name: str, props: set[str] | None = None) -> DataFrame | None:
         return self.node_scan([], props, name)
 
+    # --- relational access
+
+    def nodes_table(self) -> DataFrame:
+        """(node_id, labels, properties) of all nodes, properties as JSON."""
+        nodes = self.all_nodes("n")
+        if nodes is None:
+            return self.spark.createDataFrame([], "node_id long, labels array<string>, properties string")
+        return nodes.select(F.col("n.id").alias("node_id"), F.col("n.labels").alias("labels"), _json(nodes.schema["n"].dataType["p"].dataType, "n.p").alias("properties"))
+
+    def edges_table(self) -> DataFrame:
+        """(rel_id, rel_type, source_node_id, target_node_id, properties) of all relationships."""
+        if not self.edges:
+            return self.spark.createDataFrame([], "rel_id long, rel_type string, source_node_id long, target_node_id long, properties string")
+        e = self.edge_scan(list(self.edges.values()), None, "out", "")
+        return e.select(F.col("rel.id").alias("rel_id"), F.col("rel.type").alias("rel_type"), F.col("near").alias("source_node_id"), F.col("far").alias("target_node_id"), _json(e.schema["rel"].dataType["p"].dataType, "rel.p").alias("properties"))
+
+    def register(self, prefix: str = "") -> None:
+        """The temporary views ``nodes`` and ``edges`` for SQL, as the graph is now."""
+        self.nodes_table().createOrReplaceTempView(f"{prefix}nodes")
+        self.edges_table().createOrReplaceTempView(f"{prefix}edges")
+
+    def query_json(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
+        """The rows of a query as JSON objects in one column ``row``; nulls are written."""
+        df = self.query(text, params)
+        return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("row") if df.columns else F.lit("{}").alias("row"))
+
     # --- reading by id and filter
 
     def count_nodes(self) -> int:
@@ -440,8 +466,11 @@ class Graph:
     # --- indexes and constraints
 
     def create_node_index(self, label: str, prop: str) -> None:
-        """Note a layout wish; files written by :meth:`save` are pruned by their statistics."""
+        """Write the label's tables in the order of a property, so that scans for its values skip files and row groups by their statistics."""
         self.indexes.add((label, prop))
+        for name, t in self.nodes.items():
+            if t.may_have([label]) and prop in t.props:
+                self.nodes[name] = replace(t, df=materialise(t.df.repartitionByRange(F.col(f"`{prop}`")).sortWithinPartitions(F.col(f"`{prop}`"))))
 
     def drop_node_index(self, label: str, prop: str) -> None:
         self.indexes.discard((label, prop))
@@ -489,6 +518,10 @@ class Graph:
         return explain(self, text, params or {}, analyze)
 
 
+def _json(t: T.StructType, column: str) -> Column:
+    return F.lit("{}") if t.fieldNames() == ["_"] else F.to_json(column)
+
+
 def _one_row(spark: SparkSession, row: dict[str, Any]) -> DataFrame:
     from skein.functions.typed import literal
 

@@ -5,7 +5,7 @@ from test_oracles import SF, duck, plain  # noqa: F401
 
 from skein.queries import CYPHER, ORACLE_SQL, QUERIES
 
-ALL = ("var_zero_all", "var_both_all", "var_rel_list_all", "path_nodes_all")
+ALL = ("var_zero", "var_both", "var_rel_list", "path_nodes")
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -19,5 +19,5 @@ def test_all_events_equal_the_sql(spark, duck, name):  # noqa: F811
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
     assert got == want
     events = duck.execute("SELECT count(*) FROM events").fetchone()[0]
-    paths = {"var_both_all": lambda: len(got), "path_nodes_all": lambda: len(got), "var_zero_all": lambda: got[0][0], "var_rel_list_all": lambda: sum(r[columns.index("c")] for r in got)}[name]()
+    paths = {"var_both": lambda: len(got), "path_nodes": lambda: len(got), "var_zero": lambda: got[0][0], "var_rel_list": lambda: sum(r[columns.index("c")] for r in got)}[name]()
     assert paths > 0.5 * events
