@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import boilerplate, decontaminate, pieces, quality, shingles
-from skein.llm.common import materialise, table
+from skein.llm.common import forget, materialise, table
 from skein.llm.queries import PIECE_DROPOUT, PIECE_MODEL, PIECE_SEED, QUALITY_LEAST, tokenizer_path
 
 LINE_RATIO, LINE_PAGES = 0.1, 5
@@ -78,9 +78,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, former = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs)
+            forget(former)
+            former = docs
     return docs
