@@ -18,6 +18,8 @@ from skein.functions.typed import Typed, equal
 from skein.plans import ast as A
 from skein.sources.storage import materialise, written
 
+#: Hops in one job while a frontier has at most so many rows and does not grow.
+CALM_HOPS, CALM_ROWS = 4, 10_000
 _STEP = "src long, cur long, ids array<long>, hit boolean"
 
 
@@ -95,18 +97,31 @@ def _grow(spark, wanted: DataFrame, edges: DataFrame, low: int, high: int | None
     pairs = wanted.groupBy("src").agg(F.count(F.lit(1)).alias("pairs")).withColumnRenamed("src", "s3")
     ends = wanted.select(F.col("src").alias("s2"), F.col("dst").alias("d2"), F.lit(True).alias("end"))
     done = read(steps).where("hit").count() if low == 0 else 0
+    depth, size, calm, bound = 0, total, False, min(high or most, most)
+
+    def hop(front: DataFrame) -> DataFrame:
+        step = front.join(edges, F.col("cur") == F.col("e_near")).select("src", F.col("e_far").alias("cur"), F.concat("ids", F.array("e_id")).alias("ids"))
+        return step.groupBy("src", "cur").agg(F.min("ids").alias("ids")) if one else step
+
     while done < total:
-        if len(steps) > min(high or most, most):
+        if depth >= bound:
             if high is None or high > most:  # pairs are open and may lie further apart
                 raise ArgumentError("PathTooLong", f"paths of more than {most} relationships")
             break
-        front = read(steps[-1:])
+        front = read(steps[-1:]).where(F.size("ids") == depth)
         if done:  # sources that have found all their ends rest
             full = read(steps).where("hit").select("src", "cur").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n")).join(pairs, F.col("src") == F.col("s3")).where("n = pairs").select(F.col("src").alias("s4"))
             front = front.join(full, F.col("src") == F.col("s4"), "left_anti")
-        step = front.join(edges, F.col("cur") == F.col("e_near")).select("src", F.col("e_far").alias("cur"), F.concat("ids", F.array("e_id")).alias("ids"))
-        if one:
-            step = step.groupBy("src", "cur").agg(F.min("ids").alias("ids"))
+        # A small frontier that does not grow takes several hops in one job.
+        hops = min(CALM_HOPS if one and calm else 1, bound - depth)
+        layers = [hop(front)]
+        for _ in range(hops - 1):
+            layers.append(hop(layers[-1]))
+        step = layers[0]
+        for layer in layers[1:]:
+            step = step.unionAll(layer)
+        if hops > 1:
+            step = step.groupBy("src", "cur").agg(F.min(F.struct(F.size("ids").alias("n"), F.col("ids"))).alias("least")).select("src", "cur", F.col("least.ids").alias("ids"))
         # A circle back to its source is a path as well, the first time it closes.
         before = read(steps).where(F.size("ids") > 0).select(F.col("src").alias("s1"), F.col("cur").alias("c1"))
         step = step.join(before, (F.col("src") == F.col("s1")) & (F.col("cur") == F.col("c1")), "left_anti")
@@ -114,9 +129,11 @@ def _grow(spark, wanted: DataFrame, edges: DataFrame, low: int, high: int | None
             step = step.where("src <> cur")
         step = step.join(ends, (F.col("src") == F.col("s2")) & (F.col("cur") == F.col("d2")), "left").select("src", "cur", "ids", F.coalesce("end", F.lit(False)).alias("hit"))
         told = Observation()
-        path = written(step.observe(told, F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits")))
-        steps.append(path)
-        if not told.get["n"]:
+        steps.append(written(step.observe(told, F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))))
+        found = told.get
+        depth += hops
+        if not found["n"]:
             break
-        done = done + told.get["hits"] if one else read(steps).where("hit").select("src", "cur").distinct().count()
+        calm, size = found["n"] <= min(CALM_ROWS, 2 * size * hops), max(1, found["n"] // hops)
+        done = done + found["hits"] if one else read(steps).where("hit").select("src", "cur").distinct().count()
     return read(steps).where("hit").select("src", F.col("cur").alias("dst"), "ids")

@@ -96,8 +96,8 @@ class Graph:
         self.constraints: set[tuple[str, str, str]] = set()
         self.procedures: dict[str, Any] = {}
         self.listeners: list[Any] = []
-        #: What writers touched, in order: (node or edge, ids); (all, None) where that is not known.
-        self.touched: list[tuple[str, DataFrame | None]] = []
+        #: What writers touched, in order: (node or edge, ids, type of the edges); (all, None, None) where that is not known.
+        self.touched: list[tuple[str, DataFrame | None, str | None]] = []
         self.appended: dict[str, int] = {}
 
     # --- loading
@@ -112,7 +112,7 @@ class Graph:
         """Nodes of one label from a table; ``props`` maps property names to columns."""
         types = {f.name: f.dataType for f in df.schema}
         columns = [_plain(F.col(c), types[c])[0].alias(n) for n, c in props.items()]
-        self.touched.append(("all", None))
+        self.touched.append(("all", None, None))
         self.nodes[label] = NodeTable(df.select(self.global_id(f"node:{label}", F.col(key)).alias("id"), *columns), labels or (label,))
         return self
 
@@ -123,7 +123,7 @@ class Graph:
         made = df.select(
             self.global_id(f"edge:{name}", key).alias("id"), self.global_id(f"node:{source[0]}", F.col(source[1])).alias("source"), self.global_id(f"node:{target[0]}", F.col(target[1])).alias("target"), *columns
         )
-        self.touched.append(("all", None))
+        self.touched.append(("all", None, None))
         self.edges[name] = EdgeTable(type or name, made, self.nodes[source[0]].labels, self.nodes[target[0]].labels)
         return self
 
@@ -342,16 +342,16 @@ class Graph:
     def put_edges(self, type: str, df: DataFrame) -> None:
         """Append edges (id, source, target and properties)."""
         name = "+" + type
-        self.touch("edge", df)
+        self.touch("edge", df, type)
         if name in self.edges:
             old = self.edges[name]
             self.edges[name] = replace(old, df=self._grown(f"edge {name}", _append(old.df, df)))
         else:
             self.edges[name] = EdgeTable(type, df)
 
-    def touch(self, kind: str, ids: DataFrame) -> None:
+    def touch(self, kind: str, ids: DataFrame, type: str | None = None) -> None:
         """Note whose ids a write changes; change feeds and views look at these alone."""
-        self.touched.append((kind, ids.select("id")))
+        self.touched.append((kind, ids.select("id"), type))
 
     def _grown(self, name: str, df: DataFrame) -> DataFrame:
         """A table after one more append, written down from time to time so that plans stay short."""
@@ -442,7 +442,7 @@ class Graph:
         self.touch("node", ids)
         for e in self.edges.values():
             for end in ("source", "target"):
-                self.touch("edge", e.df.join(gone, F.col(end) == F.col("__gone"), "left_semi"))
+                self.touch("edge", e.df.join(gone, F.col(end) == F.col("__gone"), "left_semi"), e.type)
         self.nodes = {n: replace(t, df=t.df.join(gone, F.col("id") == F.col("__gone"), "left_anti")) for n, t in self.nodes.items()}
         for end in ("source", "target"):
             self.edges = {n: replace(e, df=e.df.join(gone, F.col(end) == F.col("__gone"), "left_anti")) for n, e in self.edges.items()}
@@ -454,7 +454,7 @@ class Graph:
 
     def clear(self) -> None:
         """Drop all data; registries of indexes and constraints stay."""
-        self.touched.append(("all", None))
+        self.touched.append(("all", None, None))
         self.nodes, self.edges, self.next_id = {}, {}, {"node": 1, "edge": 1}
 
     def settle(self) -> Graph:

@@ -16,14 +16,18 @@ from skein.sources.storage import materialise
 SCHEMA = "txn long, seq long, op string, kind string, id long, old string, new string"
 
 
-def touched(before: Graph, after: Graph, kind: str) -> DataFrame | None:
-    """Distinct ids that writers between two snapshots named; None where they are not known."""
+def touched(before: Graph, after: Graph, kind: str, types: set[str] | None = None) -> DataFrame | None:
+    """Distinct ids that writers between two snapshots named; None where they are not known.
+
+    With ``types``, only relationships that may be of these types count.
+    """
     tail = after.touched[len(before.touched) :]
-    if len(after.touched) < len(before.touched) or any(k == "all" for k, _ in tail):
+    if len(after.touched) < len(before.touched) or any(k == "all" for k, _, _ in tail):
         return None
     out = after.spark.createDataFrame([], "id long")
-    for k, ids in tail:
-        out = out.unionAll(ids) if k == kind else out
+    for k, ids, type_ in tail:
+        if k == kind and (not types or type_ is None or type_ in types):
+            out = out.unionAll(ids)
     return out.distinct()
 
 

@@ -240,16 +240,17 @@ class Views:
 
     def _delta(self, v: View) -> None:
         now = self.graph.snapshot()
-        nodes, edges = (touched(v.seen, now, kind) for kind in ("node", "edge"))
+        nodes = touched(v.seen, now, "node")
         if nodes is None:
             self._full(v, self.graph)
             return
         ends = nodes
-        tail = {k for k, _ in now.touched[len(v.seen.touched) :]}
-        if "edge" in tail:
-            edges = materialise(edges).withColumnRenamed("id", "__edge")
+        rels = [x for b in v.branches for x in A.walk(b.query) if isinstance(x, A.RelPat)]
+        types = set() if any(not r.types for r in rels) else {t for r in rels for t in r.types}
+        if rels and any(k == "edge" and (not types or t is None or t in types) for k, _, t in now.touched[len(v.seen.touched) :]):
+            edges = materialise(touched(v.seen, now, "edge", types)).withColumnRenamed("id", "__edge")
             # Tables that writes left alone hold the same edges before and after.
-            tables = {id(e.df): e.df for g in (v.seen, now) for e in g.edges.values()}
+            tables = {id(e.df): e.df for g in (v.seen, now) for e in g.edge_tables(list(types))}
             for df in tables.values():
                 hit = df.join(edges, F.col("id") == F.col("__edge"), "left_semi")
                 ends = ends.unionAll(hit.select(F.col("source").alias("id"))).unionAll(hit.select(F.col("target").alias("id")))
