@@ -13,7 +13,7 @@ from skein.errors import ParameterMissing, QuerySyntaxError, QueryTypeError
 from skein.functions import temporal as tm
 from skein.functions.typed import (
     BOOL, DOUBLE, LONG, NULL, STRING, Typed, cast, common, equal, family, fields, fit, float_text, is_bool, is_duration, is_entity, is_float, is_int, is_list, is_map, is_node,
-    is_null, is_num, is_path, is_rel, is_string, is_temporal, less, list_of, literal, null, promote, struct_of, truth,
+    is_null, is_num, is_path, is_rel, is_string, is_temporal, less, list_of, literal, null, promote, struct_of, truth, any_text, is_any,
 )
 from skein.plans import ast as A
 
@@ -299,6 +299,8 @@ class Exprs:
     # --- functions
 
     def text(self, x: Typed) -> Column:
+        if is_any(x.type):
+            return any_text(x.col)
         if is_float(x.type):
             return float_text(x.col.cast("double"))
         if is_temporal(x.type) or is_duration(x.type):
@@ -318,7 +320,10 @@ class Exprs:
         low, high, f = FUNCTIONS[name]
         if not low <= len(e.args) <= high:
             raise QuerySyntaxError("InvalidNumberOfArguments", name)
-        return f(self, *[self(a) for a in e.args])
+        args = [self(a) for a in e.args]
+        if name in ("tointeger", "tofloat", "toboolean", "tointegerornull", "tofloatornull", "tobooleanornull"):
+            args = [Typed(any_text(a.col), STRING) if is_any(a.type) else a for a in args]
+        return f(self, *args)
 
     def _temporal(self, name: str, e: A.Call) -> Typed:
         kind, _, method = name.partition(".")

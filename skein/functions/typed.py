@@ -19,6 +19,9 @@ LOCALTIME = T.StructType([T.StructField("time_ns", LONG)])
 TIME = T.StructType([T.StructField("time_ns", LONG), T.StructField("offset_s", LONG)])
 #: An instant with the offset it is told in, and its zone's name where it has one.
 ZONED = T.StructType([T.StructField("at", INSTANT), T.StructField("offset_s", LONG), T.StructField("zone", STRING)])
+#: A value of a list whose values have unrelated types: its kind's place in the total order, and the value by it.
+ANY = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("num", DOUBLE), T.StructField("int", LONG), T.StructField("str", STRING)])
+_RANKS = {"map": 0, "list": 3, "duration": 6, "string": 7, "boolean": 8, "number": 9}
 TEMPORAL = (DATE, LOCAL, INSTANT, ZONED, LOCALTIME, TIME)
 
 
@@ -63,8 +66,12 @@ def is_zoned(t: T.DataType) -> bool:
     return fields(t) == fields(ZONED)
 
 
+def is_any(t: T.DataType) -> bool:
+    return fields(t) == fields(ANY)
+
+
 def is_map(t: T.DataType) -> bool:
-    return isinstance(t, T.StructType) and not (is_entity(t) or is_zoned(t) or is_path(t) or is_duration(t) or is_time(t))
+    return isinstance(t, T.StructType) and not (is_any(t) or is_entity(t) or is_zoned(t) or is_path(t) or is_duration(t) or is_time(t))
 
 
 def is_list(t: T.DataType) -> bool:
@@ -120,6 +127,8 @@ def common(a: T.DataType, b: T.DataType) -> T.DataType | None:
         return a
     if is_null(a):
         return b
+    if (is_any(a) or is_any(b)) and not any(is_entity(t) or is_path(t) for t in (a, b)):
+        return ANY
     if {a.typeName() if not is_zoned(a) else "zoned", b.typeName() if not is_zoned(b) else "zoned"} <= {"timestamp", "zoned"}:
         return ZONED
     if is_num(a) and is_num(b):
@@ -158,6 +167,8 @@ def fit(x: Typed, t: T.DataType) -> Column:
         return x.col
     if is_null(x.type):
         return F.lit(None).cast(t)
+    if is_any(t):
+        return to_any(x)
     if is_zoned(t) and x.type == INSTANT:
         return F.when(x.col.isNotNull(), F.struct(x.col.alias("at"), F.lit(0).cast("long").alias("offset_s"), F.lit(None).cast("string").alias("zone")))
     if isinstance(t, T.StructType) and isinstance(x.type, T.StructType):
@@ -169,6 +180,31 @@ def fit(x: Typed, t: T.DataType) -> Column:
     return x.col.cast(t)
 
 
+def to_any(x: Typed) -> Column:
+    """A value with its kind."""
+    if is_any(x.type):
+        return x.col
+    kind, none = family(x.type), F.lit(None)
+    number = x.col.cast("double") if kind in ("number", "boolean") else none.cast("double")
+    whole = x.col if is_int(x.type) else none.cast("long")
+    text = none.cast("string") if kind in ("number", "boolean") else F.to_json(x.col) if isinstance(x.type, (T.StructType, T.ArrayType)) else x.col.cast("string")
+    rank = _RANKS.get(kind, 5)  # 5: instants and times
+    return F.when(x.col.isNotNull(), F.struct(F.lit(rank).alias("rank"), number.alias("num"), whole.cast("long").alias("int"), text.alias("str")))
+
+
+def any_text(c: Column) -> Column:
+    return F.when(c["rank"] == 8, F.when(c["num"] == 1, "true").otherwise("false")).when(c["rank"] == 9, F.coalesce(c["int"].cast("string"), float_text(c["num"]))).otherwise(c["str"])
+
+
+def shown(x: Typed) -> Column:
+    """A column as it leaves the engine; values of unrelated types become text."""
+    if is_any(x.type):
+        return any_text(x.col)
+    if is_list(x.type) and is_any(x.type.elementType):
+        return F.transform(x.col, any_text)
+    return x.col
+
+
 def literal(value: Any) -> Typed:
     """A Python value as a typed column."""
     if value is None:
@@ -203,7 +239,10 @@ def list_of(items: list[Typed]) -> Typed:
     t: T.DataType = NULL
     for x in items:
         both = common(t, x.type)
-        if both is None:  # values of unrelated types meet as text
+        if both is None and not any(is_entity(y.type) or is_path(y.type) or is_list(y.type) and isinstance(y.type.elementType, T.StructType) for y in items):
+            t = ANY
+            break
+        if both is None:  # entities and other values meet as text
             t = STRING
             items = [Typed(F.to_json(x.col) if isinstance(x.type, (T.StructType, T.ArrayType)) else x.col.cast("string"), STRING) for x in items]
             break
@@ -224,6 +263,10 @@ def equal(a: Typed, b: Typed) -> Column:
     """Three-valued equality."""
     if is_null(a.type) or is_null(b.type):
         return F.lit(None).cast("boolean")
+    if (is_any(a.type) or is_any(b.type)) and not any(is_entity(v.type) or is_path(v.type) for v in (a, b)):
+        x, y = to_any(a), to_any(b)
+        numbers = (x["num"] == y["num"]) & F.coalesce(x["int"] == y["int"], F.lit(True))
+        return F.when(x["rank"] != y["rank"], F.lit(False)).when(x["rank"] >= 8, numbers).otherwise(x["str"] == y["str"])
     if is_num(a.type) and is_num(b.type):
         x, y, floating = promote(a, b)
         return (x == y) & ~F.isnan(x) if floating else x == y  # a conjunction, so that x = y still reaches the scan
@@ -261,6 +304,10 @@ def instant(x: Typed) -> Typed:
 def less(a: Typed, b: Typed, or_equal: bool) -> Column:
     """Three-valued ordering; null for values that have none."""
     none = F.lit(None).cast("boolean")
+    if (is_any(a.type) or is_any(b.type)) and not any(is_entity(v.type) or is_path(v.type) for v in (a, b)):
+        x, y = to_any(a), to_any(b)
+        sides = lambda n: x[n] <= y[n] if or_equal else x[n] < y[n]
+        return F.when(x["rank"] != y["rank"], none).when(x["rank"] >= 8, sides("num")).when(x["rank"] == 7, sides("str"))
     if is_num(a.type) and is_num(b.type):
         x, y, floating = promote(a, b)
         out = x <= y if or_equal else x < y
@@ -302,6 +349,8 @@ def order_key(x: Typed) -> Column:
 
 def group_key(x: Typed) -> Column:
     """What equal values share, for DISTINCT and grouping."""
+    if is_any(x.type):
+        return F.when(x.col.isNotNull(), F.struct(x.col["rank"].alias("rank"), x.col["num"].alias("num"), x.col["str"].alias("str")))
     return x.col["id"] if is_entity(x.type) else x.col
 
 

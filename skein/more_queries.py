@@ -27,6 +27,8 @@ query("echo_proc", "MATCH (r:Region) CALL test.my.proc(r.regionkey * 2) YIELD ou
 # --- expressions
 query("chained_comparison", "MATCH (p:Part) WHERE 10 < p.size <= 20 RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE p_size > 10 AND p_size <= 20")
 query("mixed_comparison", "UNWIND [1, 2] AS i RETURN i, i < 'a' AS a, i = 'a' AS b, 1 < 1.5 AS c", "SELECT i, NULL::BOOLEAN AS a, false AS b, true AS c FROM (SELECT unnest([1, 2]::BIGINT[]) AS i)")
+query("mixed_values", "WITH [10, 'b', 9, true, 2.5, 'a'] AS l UNWIND l AS x WITH x, l ORDER BY x RETURN max(x) AS m, min(x) AS n, toString(collect(x)[0]) AS first, size(collect(x)) AS c, any(y IN collect(x) WHERE y = '10') AS text, any(y IN collect(x) WHERE y = 10) AS number", "SELECT '10' AS m, 'a' AS n, 'a' AS first, 6::BIGINT AS c, false AS text, true AS number")
+query("mixed_lists", "UNWIND [1, 2] AS i RETURN i, [i, 'a'] = ['1', 'a'] AS t, [i, 'a'] = [1.0, 'a'] AS n, 'a' IN [i, 'a'] AS has, [x IN [i, 'a', true] WHERE x > 1] AS more, [i, 'a'] AS l", "SELECT i, false AS t, i = 1 AS n, true AS has, CASE WHEN i = 2 THEN ['2'] ELSE []::VARCHAR[] END AS more, [i::VARCHAR, 'a'] AS l FROM (SELECT unnest([1, 2]::BIGINT[]) AS i)")
 query("angles", "UNWIND [0, 90, 180] AS d RETURN d, round(toRadians(d) * 1000) AS r, round(toDegrees(toRadians(d))) AS b", "SELECT d, round(radians(d) * 1000) AS r, d::DOUBLE AS b FROM (SELECT unnest([0, 90, 180]::BIGINT[]) AS d)")
 query("random_fns", "MATCH (p:Part) WITH rand() AS r, randomUUID() AS u RETURN min(r) >= 0 AND max(r) < 1 AS inside, count(DISTINCT u) = count(*) AS apart, min(size(u)) AS n", "SELECT true AS inside, true AS apart, 36::BIGINT AS n")
 query("float_text", "UNWIND [1.0, 0.5, 1e20, -2.5e21, 1e-20, 123456789.25] AS x RETURN x, toString(x) AS t", "SELECT * FROM (VALUES (1.0::DOUBLE, '1.0'), (0.5, '0.5'), (1e20, '100000000000000000000.0'), (-2.5e21, '-2500000000000000000000.0'), (1e-20, '0.00000000000000000001'), (123456789.25, '123456789.25')) AS v(x, t)")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from skein.errors import ArgumentError, ProcedureError, QuerySyntaxError, QueryTypeError
 from skein.functions.exprs import AGGREGATES, Exprs
 from skein.functions.typed import (
-    BOOL, DOUBLE, LONG, STRING, Typed, common, equal, family, fit, group_key, is_entity, is_float, is_int, is_list, is_node, is_null, is_num, is_path, is_rel, order_key,
+    BOOL, DOUBLE, LONG, STRING, Typed, common, equal, family, fit, group_key, is_entity, is_float, is_int, is_list, is_node, is_null, is_num, is_path, is_rel, order_key, shown,
 )
 from skein.plans import ast as A
 from skein.plans.parser import parse
@@ -953,5 +953,5 @@ def run(graph: Graph, text: str, params: dict[str, Any]) -> DataFrame:
         for listener in graph.listeners:
             listener(before, graph)
     df = compiler.rows(state)
-    return df.select(*(x.col.alias(name) for name, x in state.scope.items()))
+    return df.select(*(shown(x).alias(name) for name, x in state.scope.items()))
 
