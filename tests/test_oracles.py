@@ -8,6 +8,7 @@ from skein.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 SOME = (
     "nation_revenue", "scan_all_labels", "expand_both", "rel_unique", "optional_outer", "var_bounded", "var_both", "path_rels", "all_shortest", "exists_or", "call_top", "agg_stats", "int_arith", "entity_fns", "crud_create", "view_delta",
+    "path_ends", "path_quantified", "rules", "zoned", "zone_names", "mixed_values", "mixed_lists", "merge_rows", "merge_rel", "indexes", "save_load", "relational", "json_rows", "api_writes", "view_delta_rel", "view_delta_agg", "view_rules",
 )
 
 
