@@ -59,7 +59,7 @@ MAX_BOUND = 16
 #: Bits, as a power of 2, of the filter that tells which documents are asked for their sets.
 FILTER_BITS, MOST_FILTER_BITS = 20, 26
 #: Shingles of all sets, and bytes of sets, per task that lists or sets are dealt to.
-SHINGLES_PER_PART, SET_BYTES_PER_PART = 2_000_000, 12_000_000
+SHINGLES_PER_PART, SET_BYTES_PER_PART = 4_000_000, 12_000_000
 #: Shingles or list entries that a task holds before it passes them on.
 HELD = 1_000_000
 #: Counts of a sketch, as a power of 2.
@@ -198,14 +198,15 @@ def _light_keys(shingles: np.ndarray, bound: int) -> list[tuple[bytes, int]]:
     return out
 
 
-_ENTRIES = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("tokens", "owners", "places", "keys", "sizes")), ("subsets", pa.list_(pa.struct([("subset", pa.binary()), ("key", pa.binary()), ("side", pa.int8())])))])
-_ENTRIES_SQL = "part int, hot boolean, tokens binary, owners binary, places binary, keys binary, sizes binary, subsets array<struct<subset:binary,key:binary,side:tinyint>>"
+_ENTRIES = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("tokens", "places", "keys", "sizes", "counts")), ("subsets", pa.list_(pa.struct([("subset", pa.binary()), ("key", pa.binary()), ("side", pa.int8())])))])
+_ENTRIES_SQL = "part int, hot boolean, tokens binary, places binary, keys binary, sizes binary, counts binary, subsets array<struct<subset:binary,key:binary,side:tinyint>>"
 
 
 def _entries(shared, bits: int, hot_rank: int, bound: int, parts: int):
     """A mapper from texts to inverted-list entries, packed by part, and the subsets of light sets.
 
-    Entries of a hot shingle go to the part of their class, others to that of their shingle.
+    Entries of a hot shingle go to the part of their class, others to that of their shingle.  In
+    a row they follow each other by class, with a key, a size and a count for each class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +232,9 @@ def _entries(shared, bits: int, hot_rank: int, bound: int, parts: int):
                 t, o, p, part = t[order], o[order], p[order], part[order]
                 edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    own, index = np.unique(o[a:b], return_inverse=True)
-                    k = int(part[a])
-                    values = (k % parts, k >= parts, t[a:b].tobytes(), index.astype(np.int32).tobytes(), p[a:b].tobytes(), raw[own].tobytes(), size_of[own].tobytes(), None)
+                    own, count = np.unique(o[a:b], return_counts=True)  # the order is stable, so owners rise
+                    k, narrow = int(part[a]), p[a:b].max() < 1 << 16
+                    values = (k % parts, k >= parts, t[a:b].tobytes(), p[a:b].astype(np.uint16 if narrow else np.uint32).tobytes(), raw[own].tobytes(), size_of[own].tobytes(), count.astype(np.int32).tobytes(), None)
                     for c, v in zip(_ENTRIES.names, values, strict=True):
                         rows[c].append(v)
                     if sum(map(len, rows["tokens"][-64:])) > 4_000_000:
@@ -283,12 +284,12 @@ def _scan(part: pd.DataFrame) -> pd.DataFrame:
     """
     t, key, size, place, hot = [np.zeros(0, _U)], [np.zeros(0, "V16")], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
     for row in part.itertuples():
-        o = np.frombuffer(row.owners, np.int32)
+        count = np.frombuffer(row.counts, np.int32)
         t.append(np.frombuffer(row.tokens, _U))
-        key.append(np.frombuffer(row.keys, "V16")[o])
-        size.append(np.frombuffer(row.sizes, np.int32)[o])
-        place.append(np.frombuffer(row.places, np.int32))
-        hot.append(np.full(len(o), row.hot))
+        key.append(np.repeat(np.frombuffer(row.keys, "V16"), count))
+        size.append(np.repeat(np.frombuffer(row.sizes, np.int32), count))
+        place.append(np.frombuffer(row.places, np.uint16 if len(row.places) == len(row.tokens) // 4 else np.uint32).astype(np.int32))
+        hot.append(np.full(len(t[-1]), row.hot))
     t, key, size, place, hot = map(np.concatenate, (t, key, size, place, hot))
     half = key.view(_U).reshape(-1, 2)
     order = np.lexsort((half[:, 1], half[:, 0], t))
@@ -460,6 +461,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = light().groupBy("subset").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.min("node").alias("first")).where("low = 2 OR low < high")
     links = written(light().join(met, "subset").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())  # need no verification
     edges = lambda *paths: spark.read.schema("a long, b long").parquet(*paths)
+    delete(spark, (entered, light_path))
 
     # Each list's leader is the class with the fewest rarer shingles.
     lead = lists().groupBy("token").agg(F.min(F.struct("place", "node", "n")).alias("l"))
@@ -473,6 +475,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = "token long, node long, n int, place int, label long"
     marked_path = written(lists().join(roots, F.col("node") == F.col("of"), "left").select("token", "node", "n", "place", label))
     marked = lambda: spark.read.schema(labelled).parquet(marked_path)
+    delete(spark, [list_path])
     apart = marked().groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     left = marked().join(apart, "token").select("token", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "place", "label")))
     right = marked().select("token", *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "place", "label")))
@@ -490,6 +493,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     forget(rooted)
     forget(final)
     forget(roots)
-    delete(spark, (entered, list_path, light_path, links, tried, first, marked_path, new_path, second, class_path))
+    delete(spark, (links, tried, first, marked_path, new_path, second, class_path))
     out = meta.join(named, F.col("key") == F.col("__key"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
