@@ -34,7 +34,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
     A session that has a setting of its own keeps it.
     """
-    if spark.conf.get(_BATCH, None) == "67108864b":  # Spark's default
+    if spark.conf.get(_BATCH, "1b") == "1b":  # not set
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
