@@ -143,7 +143,7 @@ def test_subqueries_and_procedures(g):
         ("[1, null] = [1, null]", None), ("[1, 2] = [1]", False), ("[1] < [1, 2]", True), ("{a: 1, b: null}.b", None), ("{a: 1} = {a: 1}", True), ("NOT null", None), ("true XOR null", None), ("false AND null", False), ("true OR null", True),
         ("any(x IN [1, null] WHERE x = 2)", None), ("all(x IN [] WHERE x = 2)", True), ("none(x IN [1] WHERE x = 2)", True), ("single(x IN [1, 1] WHERE x = 1)", False), ("[x IN null | x]", []), ("reduce(s = 0, x IN [1, 2] | s + x)", 3),
         ("size('añb')", 3), ("size([1, null])", 2), ("head([])", None), ("tail([1, 2])", [2]), ("reverse('abc')", "cba"), ("range(5, 1)", []), ("range(5, 1, -2)", [5, 3, 1]), ("range(0, 3)", [0, 1, 2, 3]), ("substring('hello', 1, 3)", "ell"), ("split('a,b', ',')", ["a", "b"]),
-        ("replace('aaa', 'a', 'b')", "bbb"), ("trim('\\t x ')", "x"), ("left('abc', 2)", "ab"), ("right('abc', 2)", "bc"), ("toInteger('12.7')", 12), ("toInteger('x')", None), ("toFloat('1e2')", 100.0), ("toBoolean('TRUE')", True), ("toString(1.0)", "1.0"), ("toString(1e20)", "1.0E20"), ("toString(0.00001)", "0.00001"),
+        ("replace('aaa', 'a', 'b')", "bbb"), ("trim('\\t x ')", "x"), ("left('abc', 2)", "ab"), ("right('abc', 2)", "bc"), ("toInteger('12.7')", 12), ("toInteger('x')", None), ("toFloat('1e2')", 100.0), ("toBoolean('TRUE')", True), ("toString(1.0)", "1.0"), ("toString(1e20)", "100000000000000000000.0"), ("toString(0.00001)", "0.00001"),
         ("toString(true)", "true"), ("coalesce(null, 2)", 2), ("ceil(1.2)", 2.0), ("round(-2.5)", -3.0), ("sign(-3)", -1), ("abs(-3)", 3), ("log10(100)", 2.0), ("log(0)", float("-inf")), ("'abc' =~ 'b'", True), ("'abc' STARTS WITH 'ab'", True), ("1 STARTS WITH 'a'", None), ("CASE 2 WHEN 1 THEN 'a' ELSE 'b' END", "b"), ("CASE WHEN null THEN 1 END", None),
         ("keys({a: 1, b: 2})", ["a", "b"]), ("1 < 2 < 3", True), ("3 > 2 > 2", False), ("$p.a[1]", 5), ("[1, 2.5]", [1.0, 2.5]), ("valueType(1)", "INTEGER"), ("toStringOrNull(3)", "3"), ("size(split('', ','))", 1), ("exists({a: 1}.a)", True), ("pi() > 3", True),
     ],
@@ -162,10 +162,10 @@ def test_nan(g):
     ("text", "value"),
     [
         ("date('2015-07-21')", dt.date(2015, 7, 21)), ("date('2015-W30-2')", dt.date(2015, 7, 21)), ("date('2015202')", dt.date(2015, 7, 21)), ("date('201507')", dt.date(2015, 7, 1)), ("date({year: 2015, week: 30, dayOfWeek: 2})", dt.date(2015, 7, 21)), ("date({year: 1984, quarter: 3, dayOfQuarter: 45})", dt.date(1984, 8, 14)), ("date({year: 1984, ordinalDay: 202})", dt.date(1984, 7, 20)),
-        ("toString(date('2020-01-31') + duration('P1M'))", "2020-02-29"), ("toString(localtime('21:40'))", "21:40"), ("toString(time('21:40:32.142+01:00'))", "21:40:32.142+01:00"), ("toString(localdatetime('2015-07-21T21:40:32'))", "2015-07-21T21:40:32"), ("toString(datetime('2015-07-21T21:40:00+01:00'))", "2015-07-21T20:40Z"), ("toString(duration('P1Y2M10DT2H30M'))", "P1Y2M10DT2H30M"),
+        ("toString(date('2020-01-31') + duration('P1M'))", "2020-02-29"), ("toString(localtime('21:40'))", "21:40"), ("toString(time('21:40:32.142+01:00'))", "21:40:32.142+01:00"), ("toString(localdatetime('2015-07-21T21:40:32'))", "2015-07-21T21:40:32"), ("toString(datetime('2015-07-21T21:40:00+01:00'))", "2015-07-21T21:40+01:00"), ("toString(duration('P1Y2M10DT2H30M'))", "P1Y2M10DT2H30M"),
         ("toString(duration({months: 0.75}))", "P22DT19H51M49.5S"), ("toString(duration({days: 14, hours: 16, minutes: 12}))", "P14DT16H12M"), ("duration('PT90M').minutes", 90), ("duration('PT90M').minutesOfHour", 30), ("duration.inDays(date('2020-01-01'), date('2020-03-01')).days", 60), ("toString(duration.between(date('2020-01-01'), date('2021-03-05')))", "P1Y2M4D"), ("duration.inMonths(date('2020-01-31'), date('2020-03-01')).months", 1),
         ("toString(duration.inSeconds(localtime('10:00'), localtime('11:30')))", "PT1H30M"), ("date('2020-02-10').week", 7), ("date('2020-02-10').dayOfWeek", 1), ("localdatetime('2020-01-01T10:11:12.345').millisecond", 345), ("toString(date.truncate('week', date('2020-02-12')))", "2020-02-10"), ("toString(date.truncate('decade', date('2017-05-01')))", "2010-01-01"), ("toString(date.truncate('month', date('2017-05-09'), {day: 3}))", "2017-05-03"), ("toString(localdatetime.truncate('hour', localdatetime('2017-05-09T10:31:00')))", "2017-05-09T10:00"),
-        ("date('2020-01-01') < date('2020-01-02')", True), ("duration('P1D') < duration('P2D')", True), ("toString(duration('P1D') * 2)", "P2D"), ("toString(duration('P1D') + duration('PT1H'))", "P1DT1H"), ("toString(localtime('23:30') + duration('PT1H'))", "00:30"), ("datetime.fromepoch(0, 0).year", 1970), ("date(null)", None), ("toString(date({date: date('2020-05-06'), day: 1}))", "2020-05-01"), ("datetime({year: 2020, month: 7, day: 1, hour: 12, timezone: 'Europe/Paris'}).hour", 10),
+        ("date('2020-01-01') < date('2020-01-02')", True), ("duration('P1D') < duration('P2D')", True), ("toString(duration('P1D') * 2)", "P2D"), ("toString(duration('P1D') + duration('PT1H'))", "P1DT1H"), ("toString(localtime('23:30') + duration('PT1H'))", "00:30"), ("datetime.fromepoch(0, 0).year", 1970), ("date(null)", None), ("toString(date({date: date('2020-05-06'), day: 1}))", "2020-05-01"), ("datetime({year: 2020, month: 7, day: 1, hour: 12, timezone: 'Europe/Paris'}).hour", 12),
     ],
 )
 def test_temporal(g, text, value):
