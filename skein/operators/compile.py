@@ -298,7 +298,7 @@ class Compiler:
         while todo:
             # Patterns that touch what is bound come first, so joins replace products.
             k = next((k for k, p in enumerate(todo) if any(x.var in state.scope for x in (*p.nodes, *p.rels) if x.var)), 0)
-            state = self.pattern(state, todo.pop(k), seen, stub)
+            state = self.pattern(state, todo.pop(k), seen, stub, where)
         return self.where(state, where) if where is not None else state
 
     def check_pattern_names(self, state: State, patterns: list[A.Pattern]) -> None:
@@ -320,11 +320,11 @@ class Compiler:
             if p.path and (p.path in state.scope or p.path in kinds):
                 raise QuerySyntaxError("VariableAlreadyBound", p.path)
 
-    def pattern(self, state: State, p: A.Pattern, seen: list[tuple[Typed, list[EdgeTable]]], stub: str | None) -> State:
+    def pattern(self, state: State, p: A.Pattern, seen: list[tuple[Typed, list[EdgeTable]]], stub: str | None, where: A.Expr | None = None) -> State:
         if p.shortest:
             from skein.operators.shortest import shortest
 
-            return shortest(self, state, p)
+            return shortest(self, state, p, where)
         n = len(p.nodes)
         start = next((k for k, x in enumerate(p.nodes) if x.var in state.scope), 0)
         if p.nodes[start].var not in state.scope and stub is None:

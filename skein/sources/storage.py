@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Parts that each group of the left side is dealt into where groups are paired.
+DEALS = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +35,15 @@ def written(df: DataFrame) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing ``df`` to the shared folder and reading it again."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """``left`` and ``right`` joined on ``key``, which few groups share.
+
+    The pairs are many more than the rows, so sizes of the rows must not merge the tasks: the number of
+    tasks is fixed, and each group's left rows are dealt by their value ``by``, to meet a copy of the right ones.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("__deal", F.pmod(F.xxhash64(by), F.lit(DEALS).cast("long"))).repartition(n, key, "__deal")
+    copies = right.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))).repartition(n, key, "__deal")
+    return dealt.join(copies, [key, "__deal"]).drop("__deal")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.sources.graph import Graph
+from skein.sources.storage import paired
 
 #: Lines that one order may have, at most, in a relationship's key.
 LINES = 1 << 12
@@ -51,7 +52,7 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
     after = events.select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next_id"), F.col("value")).where("next_id IS NOT NULL")
     g.add_edges("NEXT", after, F.col("event_id"), ("Event", "event_id"), ("Event", "next_id"), {"value": "value"})
     s = frames["Supplier"].select("s_suppkey", "s_nationkey")
-    same = s.join(s.select(F.col("s_suppkey").alias("other"), "s_nationkey"), "s_nationkey").where("s_suppkey < other")
+    same = paired(s, s.select(F.col("s_suppkey").alias("other"), "s_nationkey"), "s_nationkey", "s_suppkey").where("s_suppkey < other")
     g.add_edges("SAME_NATION", same, _pair_key(F.col("s_suppkey"), F.col("other"), SUPPLIERS, SUPPLIERS + 1, "suppliers"), ("Supplier", "s_suppkey"), ("Supplier", "other"))
     return g
 
